@@ -67,17 +67,17 @@ class TracedUDF:
     """A UDF that keeps its source. While `recording`, calls also return the code of what they read."""
 
     def __init__(self, fn: Callable, kind: DataType | str):
-        self.fn, self.kind = fn, _parse_datatype_string(kind) if isinstance(kind, str) else kind
+        self.fn, self.kind = fn, kind  # parsed when used: workers import this without a session
         self.params = list(inspect.signature(fn).parameters)
         self.name, self.recording = fn.__name__, False
         self.code_name = f"{self.name}$"
         self.__wrapped__ = fn
-        self._plain = F.udf(fn, self.kind)
 
     def __call__(self, *cols: Column | str) -> Column:
         if not self.recording:
-            return self._plain(*cols)
-        both = StructType([StructField("v", self.kind), StructField(CODE_FIELD, LongType())])
+            return F.udf(self.fn, self.kind)(*cols)
+        kind = _parse_datatype_string(self.kind) if isinstance(self.kind, str) else self.kind
+        both = StructType([StructField("v", kind), StructField(CODE_FIELD, LongType())])
         call = _recorder(self.fn, self.params)
         call.__name__ = self.code_name
         return F.udf(call, both)(*cols).getField("v")
