@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, html, language, mixing, ngram_join, quality, secrets, sharding, winnowing
 from .common import table
+from .oracles import ORACLES
 
 SHARDS = 24
 
@@ -67,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query. The others are tested against brute force, round trips or held-out accuracy."""
-    return {}
+    return dict(ORACLES)
