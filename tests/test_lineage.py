@@ -207,3 +207,26 @@ def test_planted_faults_are_found(spark, name, faults):
     if name not in ("accidents",):
         top = [abs(v) for _, v in scores[:faults]]
         assert top[-1] > 0 and (len(scores) == faults or top[-1] > abs(scores[faults][1]))
+
+
+def test_aggregates_are_read_from_the_plan(spark, tables):
+    from whence.plans.aggregates import aggregate_levels, aggregate_of, aggregate_slots, column_level, influence_auto
+
+    df = spark.sql("select store, avg(daily) a, max(daily) m from (select store, day, sum(amount + 1) daily from days group by store, day) group by store")
+    assert aggregate_of(df) == "avg" and aggregate_slots(df) == {"a": (0, "avg"), "m": (1, "max")}
+    assert [[x.function for x in level] for level in aggregate_levels(df)] == [["avg", "max"], ["sum"]]
+    assert column_level(df, "daily").depth == 1 and column_level(df, "m").slot == 1
+    assert aggregate_of(spark.sql("select percentile(amount, 0.9) p from days")) == "percentile:0.9"
+    assert influence_auto(df, [1.0, 3.0]).scores == {0: -1.0, 1: 1.0}
+    assert influence_auto(spark.sql("select collect_list(amount) c from days"), [1.0, 3.0], "sum").of(1) == 3.0
+    with pytest.raises(KeyError):
+        column_level(df, "store")
+
+
+def test_measurements_find_the_planted_group(spark, tmp_path):
+    from whence.operators.measure import one
+
+    p = PROGRAMS["airport"]
+    p.rows(spark, 2000).write.parquet(f"{tmp_path}/a")
+    got = one(spark, "airport", p, spark.read.parquet(f"{tmp_path}/a"), 2000, "lazy-cell", True, "dep_hr = 23")
+    assert got["lin_precision"] == got["lin_recall"] == got["fault_prec1"] == got["fault_recall"] == 1.0

@@ -27,11 +27,12 @@ class Lineage:
         t.trace(df, bad).go_back().show()           # the source rows behind those outputs
 
     strict: refuse operators whose lineage the level of a group or key cannot express (global sorts, joins without equal keys, ranges).
+    storage: level of the stored tables. prune: read only files that hold wanted rows when ids become rows again.
     """
 
-    def __init__(self, spark: SparkSession, strict: bool = True):
-        self.spark, self.strict = spark, strict
-        self.capturing, self.influence_on, self.focus, self.prune = True, False, "", True
+    def __init__(self, spark: SparkSession, strict: bool = True, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK, prune: bool = True):
+        self.spark, self.strict, self.storage = spark, strict, storage
+        self.capturing, self.influence_on, self.focus, self.prune = True, False, "", prune
         self.measures: list[_udf.TracedUDF] = []
         self.mode, self.fallback = "column", None
         self._graphs: dict[int, tuple[DataFrame, CaptureGraph | None]] = {}
@@ -76,9 +77,8 @@ class Lineage:
     def graph(self, df: DataFrame) -> CaptureGraph | None:
         """What capture stored for this query; None where it runs uncaptured (a bare LIMIT, a command, capture off)."""
         if id(df) not in self._graphs:
-            storage = getattr(StorageLevel, os.environ.get("WHENCE_STORAGE", "MEMORY_AND_DISK"))
             try:
-                got = Rewriter(self.spark, self.strict, self.influence_on, self.focus, storage).capture(df) if self.capturing else None
+                got = Rewriter(self.spark, self.strict, self.influence_on, self.focus, self.storage).capture(df) if self.capturing else None
             except NotCaptured:
                 got = None
             self._graphs[id(df)] = (df, got)
