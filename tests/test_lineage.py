@@ -192,7 +192,7 @@ def test_fields_read_by_udfs(spark, tables, mode, monkeypatch):
         assert all(w["_data"] == ["amount"] and w["_control"] == [] and w["_regime"] == "exact" for w in rows)
 
 
-@pytest.mark.parametrize("name, faults", [("airport", 20), ("weather", 1), ("student", 20), ("accidents", 120), ("nested", 20), ("holistic", 15)])
+@pytest.mark.parametrize("name, faults", [("airport", 20), ("weather", 1), ("weather_np", 1), ("sentiment", 20), ("student", 20), ("accidents", 120), ("nested", 20), ("holistic", 15)])
 def test_planted_faults_are_found(spark, name, faults):
     p = PROGRAMS[name]
     t = Lineage(spark, strict=False)

@@ -187,3 +187,26 @@ def test_lineage_covers_all_that_perturbation_finds(fn, make):
             other = [make(r)[k] for _ in range(5)]
             if any(fn(*args[:k], o, *args[k + 1 :]) != fn(*args) for o in other):
                 assert n in data_prov(got) | control_prov(got)
+
+
+def test_reads_down_to_elements():
+    from whence.functions.udf import element_reads
+    from whence.operators.programs import sentiment
+
+    row = {"tokens": ["the", "bad", "day"], "scores": [9.0, -1.0, -3.0]}
+    data, _, level = element_reads(sentiment.fn, sentiment.params, row)
+    assert {"scores[1]", "scores[2]"} <= set(data) and "scores[0]" not in data and level == "exact"
+
+
+def test_numpy_calls_are_coarse_until_modeled():
+    np = pytest.importorskip("numpy")
+
+    def scaled(v, u):
+        return np.multiply(v, 2.0)
+
+    assert regime(trace(scaled)(tag(1.0, "v"), tag("x", "u"))) == "coarse" and data_prov(trace(scaled)(tag(1.0, "v"), tag("x", "u"))) == {"v"}
+    register_model(np.multiply, lambda fn, args, kw: taint.Reason.reduce_all(fn(*raw(args)), args))
+    try:
+        assert regime(trace(scaled)(tag(1.0, "v"), tag("x", "u"))) == "model"
+    finally:
+        del taint._MODELS[np.multiply]

@@ -43,6 +43,13 @@ def traced_call(fn: Callable, params: Sequence[str], row: dict, traced: Callable
     return tuple(sorted({_field(x) for x in data_prov(got)})), tuple(sorted({_field(x) for x in control_prov(got)})), regime(got)
 
 
+def element_reads(fn: Callable, params: Sequence[str], row: dict) -> Reads:
+    """As traced_call, down to elements of lists (`scores[3]`), named by parameter and index."""
+    got = trace(fn)(*[taglist(row[p], f"{p}[") if isinstance(row[p], list) else tag(row[p], p) for p in params])
+    name = lambda x: x + "]" if "[" in x else x
+    return tuple(sorted(map(name, data_prov(got)))), tuple(sorted(map(name, control_prov(got)))), regime(got)
+
+
 def annotate(row: dict, reads: list[Reads]) -> None:
     """Adds the union of what several UDFs read, with the coarsest regime."""
     if reads:

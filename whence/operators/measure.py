@@ -61,7 +61,7 @@ def one(spark: SparkSession, name: str, p: Program, source: DataFrame, rows: int
 
 
 def measurements(spark: SparkSession, rows: int, names: list[str], where: str) -> Iterator[dict]:
-    keys = {"airport": "dep_hr = 23", "airport_multi": "dep_hr = 23", "weather": "month = 12", "student": "grade = 12", "accidents": "severity = 2", "nested": "store = 99", "holistic": "store = 99"}
+    keys = {"airport": "dep_hr = 23", "airport_multi": "dep_hr = 23", "weather": "month = 12", "weather_np": "month = 12", "sentiment": "item = 1000", "student": "grade = 12", "accidents": "severity = 2", "nested": "store = 99", "holistic": "store = 99"}
     for name in names:
         p = PROGRAMS[name]
         path = f"{where}/{name}"

@@ -99,6 +99,36 @@ def amount(raw):
     return raw * 1.0
 
 
+@udf("double")
+def to_mm_np(value, unit):
+    import numpy as np
+
+    return float(np.multiply(value, 1.0 if unit == "mm" else 304.8))
+
+
+@udf("double")
+def sentiment(tokens, scores):
+    total = 0.0
+    used = 0
+    for word, score in zip(tokens, scores):
+        if word != "the":
+            total += score
+            used += 1
+    return total / used if used > 0 else 0.0
+
+
+def review_rows(spark: SparkSession, rows: int) -> DataFrame:
+    """Reviews of items with scored tokens; the faulty item's first reviews hold one extreme token."""
+
+    def review(score: Column) -> dict[str, Column]:
+        words = F.array(F.lit("the"), F.lit("screen"), F.lit("is"), F.lit("fine"))
+        return {"tokens": words, "scores": F.array(F.lit(0.0), F.lit(0.1), F.lit(0.0), score)}
+
+    normal = spark.range(rows).select(F.col("id").alias("rid"), (F.lit(1) + _noise(1, 99)).cast("int").alias("item"), *[c.alias(n) for n, c in review(_noise(2, 10) / 10).items()], F.lit(False).alias("__fault"))
+    bad = F.col("id") < 20
+    return _planted(normal, _faulty(spark, item=F.lit(1000), **review(F.when(bad, -100.0).otherwise(0.5)), __fault=bad))
+
+
 @dataclass(frozen=True)
 class Program:
     """A job: its input, its query, the UDFs it measures with, the suspicious output and the column it stands out by."""
@@ -114,6 +144,8 @@ PROGRAMS: dict[str, Program] = {
     "airport": Program(airport_rows, lambda d: d.withColumn("mins", duration("arr_min", "dep_min")).groupBy("dep_hr").agg(F.sum("mins").alias("total")), (duration,), "total < 9000 and dep_hr = 23", "total"),
     "airport_multi": Program(airport_rows, lambda d: d.withColumn("mins", duration("arr_min", "dep_min")).withColumn("wait", taxi("dep_min")).groupBy("dep_hr").agg(F.sum("mins").alias("total"), F.avg("wait").alias("wait_avg"), F.max("mins").alias("longest")), (duration, taxi), "dep_hr = 23", "total"),
     "weather": Program(weather_rows, lambda d: d.withColumn("mm", to_mm("value", "unit")).groupBy("month").agg(F.max("mm").alias("most")), (to_mm,), "most > 1000", "most"),
+    "weather_np": Program(weather_rows, lambda d: d.withColumn("mm", to_mm_np("value", "unit")).groupBy("month").agg(F.max("mm").alias("most")), (to_mm_np,), "most > 1000", "most"),
+    "sentiment": Program(review_rows, lambda d: d.withColumn("mood", sentiment("tokens", "scores")).groupBy("item").agg(F.avg("mood").alias("mean")), (sentiment,), "mean < 0", "mean"),
     "student": Program(student_rows, lambda d: d.withColumn("gpa", scaled("pct")).groupBy("grade").agg(F.avg("gpa").alias("mean")), (scaled,), "mean > 3", "mean"),
     "accidents": Program(accident_rows, lambda d: d.withColumn("vis", cleaned("visibility")).groupBy("severity").agg(F.avg("vis").alias("mean")), (cleaned,), "mean < 5", "mean"),
     "nested": Program(sales_rows, lambda d: d.withColumn("sale", amount("raw")).groupBy("store", "day").agg(F.sum("sale").alias("daily_total")).groupBy("store").agg(F.avg("daily_total").alias("store_avg")), (amount,), "store_avg < 0", "daily_total"),
