@@ -236,6 +236,32 @@ def test_join_equals_all_pairs(spark, n, num, den, leaf, monkeypatch):
     assert kept == {i for i, w in enumerate(want) if i == w}
 
 
+def test_components_of_chains_stars_and_later_edges(spark):
+    from whence.llm.components import components, joined_further
+
+    chain = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 140)] + [(300, 200), (200, 250)]
+    edges = spark.createDataFrame(chain, "a long, b long")
+    roots = components(edges, "a", "b")
+    got = {r.node: r.root for r in roots.collect()}
+    assert len(got) == 40 + 40 + 3 and {got[i] for i in range(1, 41)} == {1} and {got[i] for i in range(100, 140)} == {100} and got[300] == got[250] == 200
+    more = joined_further(roots, spark.createDataFrame([(40, 139), (7, 9), (500, 300)], "a long, b long"), "a", "b")
+    got = {r.node: r.root for r in more.collect()}
+    assert len(got) == 84 and got[120] == got[3] == 1 and got[500] == got[250] == 200
+    assert components(edges.limit(0), "a", "b").count() == 0
+
+
+def test_rtree_finds_all_that_the_bound_allows():
+    np = ngram_join.np
+    rng = np.random.default_rng(3)
+    points = rng.poisson(3, (150, ngram_join.DIMS)).astype(np.int32)
+    points[50:100] = np.maximum(points[:50] - (rng.random((50, ngram_join.DIMS)) < 0.1), 0)
+    sizes = points.sum(1)
+    tree = ngram_join.RTree(points, sizes)
+    for i in range(150):
+        want = [j for j in range(150) if np.minimum(points[i], points[j]).sum() * 185 >= 85 * (sizes[i] + sizes[j]) and sizes[j] * 100 >= 85 * sizes[i] and sizes[i] * 100 >= 85 * sizes[j]]
+        assert set(want) <= set(tree.query(points[i], int(sizes[i]), 85, 100).tolist())
+
+
 def test_join_on_odd_tables(spark):
     assert ngram_join.similar_groups(frame(spark, [])).count() == 0
     rows = [(1, "a b c d e", "en", "s", 9), (1, "a b c d e", "en", "s", 9), (1, "v w x y z", "en", "s", 9), (2, "v w x y z", "en", "s", 9), (None, "a b c d e", "en", "s", 9), (3, None, None, None, None)]

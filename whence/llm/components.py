@@ -1,7 +1,7 @@
 """Connected components of an edge list, in Spark: alternating large-star and small-star steps over tables.
 
 Minima are aggregated map-side and joined back, so the hub of a star with any number of leaves is never one task's list. Each round is
-written to the shared folder, which cuts lineage; rounds end when a round changes nothing.
+written to the shared folder, which cuts lineage; rounds end when every edge leads straight to a root.
 """
 
 from __future__ import annotations
@@ -24,14 +24,25 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).filter("u > v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads straight to a root: no node has two edges, none that edges lead to has one of its own."""
+    twice = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+    chained = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+    return twice.unionByName(chained).isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, root: every node of an edge, and the least node of its component."""
     now = keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
-    before = None
-    while True:
+    while not _settled(now):
         now = keep(_stars(_stars(now, True), False), "stars")
-        sums = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("v").cast("decimal(38,0)")), F.lit(0)).alias("v"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if sums == before:
-            break
-        before = sums
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def joined_further(roots: DataFrame, more: DataFrame, a: str, b: str) -> DataFrame:
+    """The output of `components` once `more` edges are added."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    moved = more.join(of(a), a, "left").join(of(b), b, "left").select(F.coalesce(f"root_{a}", a).alias("a"), F.coalesce(f"root_{b}", b).alias("b"))
+    tops = components(moved, "a", "b").withColumnRenamed("node", "old").withColumnRenamed("root", "top")
+    known = roots.unionByName(tops.select(F.col("old").alias("node"), F.col("old").alias("root")).join(roots.select("node"), "node", "left_anti"))
+    return known.join(tops, F.col("root") == F.col("old"), "left").select("node", F.coalesce("top", "root").alias("root"))

@@ -4,16 +4,16 @@ Every document's set of n-grams is hashed into groups; the number of its n-grams
 documents with sizes a and b and a similarity of t or more differ in at most d = (1-t)/(1+t) * (a+b) n-grams.
 
 1. Equal sets are folded into one class (its least doc_id), however many copies there are.
-2. Blocks. The n-grams of a document in one group form a token. With more groups than d, a pair that links has equal tokens in some group: if each
-   document emits the first d+1 of its tokens, fullest groups first, then a linking pair shares one (the argument of
-   prefix filters, on tokens). A token is several n-grams at once, so passages that many documents share hardly ever make a block. The number of groups depends on a size class (powers of two);
-   documents near a class's upper end also emit tokens for the next class.
-3. Documents that share a token are connected; the connected parts are cut into leaves of bounded size by salted hash.
-   Leaves, and pairs of leaves of one part, are joined by an R-tree over the points: a node's coordinate maxima and size range bound the overlap of all
-   that lies below it by the sum of coordinate minima; documents that pass the bound are verified on their n-grams.
-   A pair whose documents are connected already is not tested again, so a large group of near copies costs one test a document.
-   Leaves are joined alone first; a pair of leaves is taken up only if its documents are not all connected by then.
-4. Links (a spanning forest, not all pairs) give the components.
+2. Blocks. The n-grams of a document in one group form a token. A pair that links differs in d groups at most, so if each
+   document emits the first d+1 of its tokens, fullest groups first, a linking pair shares one (the argument of
+   prefix filters, on tokens). A token is several n-grams at once, so passages that many documents share make few and small blocks. The number of
+   groups depends on a size class; documents near a class's upper end also emit tokens for the next class.
+3. Each block's documents are first held against its least document (a star, linear in the block). Pairs whose points' bound allows a link are verified
+   on their n-grams, grouped by the least document. Connected documents get one label; large groups of near copies end here.
+4. Blocks that still hold several labels are joined by an R-tree over the points: a node's coordinate maxima and size range
+   bound the overlap of all that lies below it by the sum of coordinate minima. Blocks with the same members are joined once; large
+   blocks are cut into leaves by a salted hash and joined leaf by leaf, with points only, never texts. Pairs that pass are verified.
+5. Verified links, not all pairs, give the components.
 
 N-grams are compared by 64-bit hashes. A text with fewer words than n is one n-gram; without words it has none and links with
 nothing. A null text has no words. Documents with a null doc_id have a null component and link with nothing. Rows that repeat a doc_id with different texts count as one document for the components (its links are those of all its texts).
@@ -21,18 +21,23 @@ nothing. A null text has no words. Documents with a null doc_id have a null comp
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, keep
-from .components import components
+from .components import components, joined_further
 
 #: Coordinates of a point; points below a node of the tree; documents in a leaf task.
-DIMS, FAN, LEAF = 32, 16, 400
-LEAST_GROUPS = 64
+DIMS, FAN, LEAF = 64, 16, 400
+#: Groups for each n-gram that may differ, and more of them for short texts; ratio of size classes (never below 1/t).
+GROUPS, MORE_GROUPS, CLASSES = 1.3, 12, 1.6
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: The inverse of _A modulo 2**64.
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -87,8 +92,13 @@ def differ_at_most(size: int, num: int, den: int) -> int:
     return (den - num) * size // num
 
 
-def groups_of(size_class: int, num: int, den: int) -> int:
-    return max(LEAST_GROUPS, 4 * differ_at_most(2 << size_class, num, den))
+@lru_cache(64)
+def class_ends(num: int, den: int) -> tuple[int, ...]:
+    """Least sizes of the size classes. Partners of a set lie in its own class or the ones beside it."""
+    ends, ratio = [1], max(CLASSES, den / num)
+    while ends[-1] < 1 << 40:
+        ends.append(max(ends[-1] + 1, math.ceil(ends[-1] * ratio)))
+    return tuple(ends)
 
 
 def tokens(grams: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -96,11 +106,12 @@ def tokens(grams: np.ndarray, num: int, den: int) -> np.ndarray:
     n = len(grams)
     if not n:
         return np.zeros(0, np.int64)
-    own, out = n.bit_length() - 1, []
+    ends = class_ends(num, den)
+    own, d, out = bisect_right(ends, n) - 1, differ_at_most(n, num, den), []
     for c in (own, own + 1):
-        if c > own and n * den // num < 2 << own:
+        if c > own and n * den // num < ends[c]:
             break
-        k = groups_of(c, num, den)
+        k = int(GROUPS * differ_at_most(ends[c + 1] - 1, num, den)) + MORE_GROUPS
         with np.errstate(over="ignore"):
             g = ((_mix(grams * _C + _A) >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             order = np.argsort(g, kind="stable")
@@ -109,11 +120,10 @@ def tokens(grams: np.ndarray, num: int, den: int) -> np.ndarray:
             sums = np.add.reduceat(grams[order], first)
             count = np.diff(np.append(first, n))
             t = _mix(sums ^ _mix(g[first] + np.uint64(c + 1) * _A))
-            d = differ_at_most(n, num, den)
             rank = (np.uint64(255) - np.minimum(count, 255).astype(np.uint64)) << np.uint64(56) | (t >> np.uint64(8))
             best = np.argpartition(rank, d)[: d + 1] if len(rank) > d + 1 else np.arange(len(rank))
             out.append(t[best].view(np.int64))
-            if len(t) <= 2 * d:  # too few groups are filled for the argument; such documents of a class meet in one block
+            if len(t) <= d:  # all groups may differ: a linking partner has as few filled groups, and meets this set in one block
                 out.append(_mix(np.array([c + 1], np.uint64) * _B + _C).view(np.int64))
     return np.concatenate(out)
 
@@ -123,6 +133,14 @@ def point(grams: np.ndarray) -> np.ndarray:
     return np.bincount((grams % np.uint64(DIMS)).astype(np.int64), minlength=DIMS).astype(np.int32)
 
 
+def packed(p: np.ndarray) -> bytes:
+    return p.astype(np.uint16 if p.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * DIMS else np.uint32).astype(np.int32)
+
+
 class RTree:
     """Points packed by size and then by their fullest coordinates; each level has the maxima and size ranges of FAN nodes below."""
 
@@ -152,42 +170,75 @@ class RTree:
         return self.order[at[bound * (num + den) >= num * (size + self.sizes[at])]]
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect all documents here that are connected through links here; equal labels are connected already."""
-    n = len(ids)
-    root = np.unique(labels, return_inverse=True)[1].reshape(-1)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    points = np.array([point(s) for s in sets], np.int32).reshape(n, DIMS)
-    tree, out = RTree(points, sizes), []
-    for i in range(n):
+def candidates(ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, sizes: np.ndarray, points: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs (a > b) with different labels whose bound allows a link; with two sides, pairs across only."""
+    tree, out, two = RTree(points, sizes), [], len(set(sides.tolist())) > 1
+    for i in range(len(ids)):
         near = tree.query(points[i], int(sizes[i]), num, den)
-        near = near[(near < i) & (root[near] != root[i])]
-        while len(near):
-            j = int(near[0])
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if den * both >= num * (sizes[i] + sizes[j] - both):
-                out.append((int(ids[i]), int(ids[j])))
-                root[root == root[j]] = root[i]
-                near = near[root[near] != root[i]]
-            else:
-                near = near[1:]
+        near = near[(ids[near] < ids[i]) & (labels[near] != labels[i])]
+        if two:
+            near = near[sides[near] != sides[i]]
+        out += [(int(ids[i]), int(ids[j])) for j in near]
     return out
 
 
-def _joined(units: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links of each unit: rows (unit, id, label, text) of one unit go to one task; a unit holds two leaves at most."""
+def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose points allow a link."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        x, y = (np.array([unpacked(v) for v in b.column(c).to_pylist()]).reshape(-1, DIMS) for c in ("pa", "pb"))
+        ok = np.minimum(x, y).sum(1) * (num + den) >= num * (b.column("na").to_numpy() + b.column("nb").to_numpy())
+        mask = pa.array(ok)
+        return {"a": b.column("a").filter(mask), "b": b.column("b").filter(mask)}
+
+    left, right = (points.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}")) for c in "ab")
+    return by_batch(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb"), "a long, b long", run, 5000)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link. Texts of all `a` of one `b` meet that of b in tasks of LEAF documents at most."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable")
-        found = links(frame["id"].to_numpy(), [shingles(t, n) for t in frame["text"]], frame["label"].to_numpy(), num, den)
+        hubs = [shingles(t, n) for t in frame.loc[frame["hub"], "text"]]
+        found = []
+        for ident, text in zip(frame.loc[~frame["hub"], "id"], frame.loc[~frame["hub"], "text"], strict=True):
+            mine = shingles(text, n)
+            for h in hubs:
+                both = len(np.intersect1d(mine, h, assume_unique=True))
+                if den * both >= num * (len(mine) + len(h) - both):
+                    found.append(ident)
+                    break
+        return pd.DataFrame({"a": found, "b": [frame["b"].iloc[0]] * len(found)}, dtype="int64")
+
+    counts = pairs.groupBy("b").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("leaves"))
+    salted = pairs.join(counts, "b").select("a", "b", F.pmod(F.xxhash64("a"), "leaves").cast("int").alias("leaf"))
+    tops = counts.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("leaf"), F.lit(True).alias("hub"))
+    rows = salted.select(F.col("a").alias("id"), "b", "leaf", F.lit(False).alias("hub")).unionByName(tops).join(texts, "id")
+    return rows.groupBy("b", "leaf").applyInPandas(run, "a long, b long")
+
+
+def _open_pairs(blocks: DataFrame, points: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs inside blocks that hold several labels and three documents or more, that an R-tree over their points lets pass."""
+    labelled = blocks.select("token", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    rows = keep(labelled.select("token", "id", F.coalesce("root", "id").alias("label")), "labelled")
+    h = F.xxhash64("id")
+    sums = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.shiftright(h, 24)).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(7), "id"), 24)).alias("y"))
+    sums = sums.filter("n > 2 and lo < hi").groupBy("n", "x", "y").agg(F.min("token").alias("token"))  # equal members: once
+    leafy = rows.join(sums.select("token", F.ceil(F.col("n") / LEAF).cast("int").alias("leaves")), "token")
+    leafy = leafy.withColumn("leaf", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("leaves")).cast("int"))
+    each = leafy.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
+    unit = F.struct("token", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j")).alias("unit")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = candidates(*[frame[c].to_numpy() for c in ("id", "label", "leaf", "n")], np.array([unpacked(v) for v in frame["point"]]), num, den)
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype="int64")
 
-    return units.groupBy("unit").applyInPandas(run, "a long, b long")
+    return each.select(unit, "id", "label", "leaf").join(points, "id").groupBy("unit").applyInPandas(run, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, set_id (the least doc_id with the same set) of every row; links need num/den similarity of n-gram sets."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
 
     def run(b: pa.RecordBatch) -> dict:
         import hashlib
@@ -195,33 +246,38 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -
         sets = [shingles(t, n) for t in b.column("text").to_pylist()]
         return {
             "doc_id": b.column("doc_id"),
+            "mark": b.column("mark"),
             "n_shingles": [len(s) for s in sets],
             "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+            "point": [packed(point(s)) for s in sets],
             "tokens": [tokens(s, num, den) for s in sets],
         }
 
-    signed = keep(by_batch(texts, "doc_id long, n_shingles long, digest binary, tokens array<long>", run, 500), "signed")
+    signed = keep(by_batch(texts, "doc_id long, mark long, n_shingles long, digest binary, point binary, tokens array<long>", run, 500), "signed")
     held = signed.filter("digest is not null and doc_id is not null")
-    classes = keep(held.groupBy("digest").agg(F.min("doc_id").alias("set_id")), "classes")
-    # Blocks: tokens of two sets or more, each joined to its least set.
-    firsts = held.join(classes, "digest").filter("doc_id = set_id").select("set_id", "tokens", "digest").dropDuplicates(["digest"])
-    emitted = firsts.select(F.col("set_id").alias("id"), F.explode("tokens").alias("token"))
+    classes = held.groupBy("digest").agg(F.min("doc_id").alias("set_id"))
+    # The set's id: its least doc_id, or a hash where one doc_id is the least of several sets (rows that repeat an id with other texts).
+    twice = F.count("*").over(Window.partitionBy("set_id")) > 1
+    classes = keep(classes.withColumn("id", F.when(twice, F.xxhash64("digest")).otherwise(F.col("set_id"))), "classes")
+    # Blocks: tokens of two sets or more, with their least set.
+    firsts = held.join(classes, "digest").filter("doc_id = set_id").dropDuplicates(["digest"])
+    emitted = firsts.select("id", F.explode("tokens").alias("token"))
     hubs = emitted.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("token", "hub")
-    parts = keep(components(emitted.join(hubs, "token").filter("id > hub").select("id", "hub"), "id", "hub"), "parts")
-    # Leaves of bounded size within each part, by a salt.
-    counts = parts.groupBy("root").agg(F.count("*").alias("n"))
-    leafy = parts.join(counts, "root").select(F.col("node").alias("id"), F.col("root").alias("part"), F.ceil(F.col("n") / LEAF).cast("int").alias("leaves"))
-    leafy = leafy.withColumn("leaf", F.pmod(F.xxhash64("id"), F.col("leaves")).cast("int"))
-    texts_of = held.join(classes, "digest").filter("doc_id = set_id").select(F.col("doc_id").alias("id"), "digest").dropDuplicates(["digest"])
-    members = leafy.join(texts_of.select("id").distinct(), "id").join(texts.filter("doc_id is not null").withColumnRenamed("doc_id", "id"), "id")
-    members = keep(members.select("id", "part", "leaf", "leaves", "text"), "members")
-    alone = members.select(F.struct("part", "leaf").alias("unit"), "id", F.col("id").alias("label"), "text")
-    found = keep(_joined(alone, n, num, den), "links")
-    if members.filter("leaves > 1").limit(1).count():
-        found = keep(found.unionByName(_across(members.filter("leaves > 1"), found, n, num, den)), "links")
-    linked = classes
-    roots = components(found, "a", "b").withColumnRenamed("node", "set_id")
-    linked = linked.join(roots, "set_id", "left").select("digest", "set_id", F.coalesce("root", "set_id").alias("root"))
+    blocks = keep(emitted.join(hubs, "token"), "blocks")
+    inside = keep(blocks.select("id").distinct(), "in-blocks")
+    chosen = firsts.join(inside, "id").select("id", "doc_id", "mark", F.col("n_shingles").alias("n"), "point")
+    points = keep(chosen, "points")
+    bodies = texts.join(points.select("id", "doc_id", "mark"), ["doc_id", "mark"]).groupBy("id").agg(F.first("text").alias("text"))
+    bodies, points = keep(bodies, "bodies"), points.select("id", "n", "point")
+    star = _bounded(blocks.filter("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), points, num, den)
+    first = _verified(keep(star, "star-pairs"), bodies, n, num, den)
+    roots = components(first, "a", "b")
+    open_ = keep(_open_pairs(blocks, points, roots, num, den), "open-pairs")
+    if not open_.isEmpty():
+        roots = joined_further(roots, keep(_verified(open_, bodies, n, num, den), "links"), "a", "b")
+    linked = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = linked.groupBy("root").agg(F.min("set_id").alias("least"))
+    linked = linked.join(least, "root").select("digest", "set_id", F.col("least").alias("root"))
     # One id with several texts ties its sets together.
     own = held.join(linked, "digest").groupBy("doc_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     if own.limit(1).count():
@@ -232,26 +288,6 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -
     return rows.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"), F.coalesce("set_id", "doc_id").alias("set_id"))
 
 
-def _across(members: DataFrame, found: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links between leaves of one part, for pairs of leaves that are not all connected by the links found."""
-    # Leaves' roots first: one document for each connected group of a leaf, joined with each other in leaves again.
-    labels = members.join(components(found, "a", "b").withColumnRenamed("node", "id"), "id", "left")
-    labels = keep(labels.withColumn("label", F.coalesce("root", "id")).drop("root"), "labels")
-    tops = labels.filter("id = label")
-    counts = tops.groupBy("part").agg(F.count("*").alias("m"))
-    tops = tops.join(counts, "part").withColumn("leaf", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("m") / LEAF)).cast("int"))
-    hubs = keep(_joined(tops.select(F.struct("part", "leaf").alias("unit"), "id", F.col("id").alias("label"), "text"), n, num, den), "hub-links")
-    joined = components(hubs.unionByName(found), "a", "b").withColumnRenamed("node", "id")
-    labels = keep(members.join(joined, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root"), "labels")
-    # A leaf's labels: one if it is all connected. Pairs of leaves with one label in common and no other are done.
-    leaves = labels.groupBy("part", "leaf").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    left, right = (leaves.select("part", *[F.col(c).alias(f"{c}_{s}") for c in ("leaf", "lo", "hi")]) for s in "xy")
-    pairs = left.join(right, "part").filter("leaf_x < leaf_y and not (lo_x = hi_x and lo_y = hi_y and lo_x = lo_y)").select("part", "leaf_x", "leaf_y")
-    unit = F.struct("part", "leaf_x", "leaf_y").alias("unit")
-    sides = [labels.join(pairs.withColumn("leaf", F.col(f"leaf_{s}")), ["part", "leaf"]).select(unit, "id", "label", "text") for s in "xy"]
-    return hubs.unionByName(_joined(sides[0].unionByName(sides[1]), n, num, den))
-
-
 def distinct_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The columns of documents: of each group of similar documents only the one with the least doc_id; others and empty ones stay."""
     groups = similar_groups(docs, n, num, den).filter("doc_id > component_id").select("doc_id").distinct()
@@ -259,5 +295,5 @@ def distinct_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     return rest.dropDuplicates(["doc_id", "text", "lang", "source", "n_chars"]).select("doc_id", "text", "lang", "source", "n_chars")
 
 
-__all__ = ["RTree", "distinct_documents", "links", "shingles", "similar_groups", "tokens"]
+__all__ = ["RTree", "candidates", "distinct_documents", "shingles", "similar_groups", "tokens"]
 
