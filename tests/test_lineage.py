@@ -150,6 +150,8 @@ def test_focus_stores_less(spark, tables):
     t, df, c = walk(spark, sql, lambda r: r.category == "toys", 0, enable_focus=("category = 'toys'",))
     assert sorted(w["amount"] for w in c.show()) == [55, 60, 75, 90]
     assert t.trace(df, [i for r, i in t.collect_with_lineage(df) if r.category == "furniture"]).go_back().ids == []
+    whole, dfw, _ = walk(spark, sql, lambda r: True)
+    assert 0 < sum(t.lineage_size(df)) < sum(whole.lineage_size(dfw))
     _, _, c = walk(spark, sql, lambda r: r.category == "toys", 0, enable_focus=("total < 300",))
     assert len(c.ids) == 4
 

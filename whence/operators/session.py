@@ -96,6 +96,8 @@ class Lineage:
         if g is None:
             return [(r, None) for r in df.collect()]
         make = Row(*g.names)
+        while g.apart:
+            g.apart.pop().write.format("noop").mode("overwrite").save()  # fills the stored table
         return [(make(*r[: len(g.names)]), r[-1]) for r in g.result.select(*[f"__c{i}" for i in range(len(g.names))], g.ident).collect()]
 
     def result_ids(self, df: DataFrame) -> list[int]:

@@ -76,6 +76,7 @@ class CaptureGraph:
     ident: str = ""
     level: Level | None = None
     stored: list[DataFrame] = field(default_factory=list)
+    apart: list[DataFrame] = field(default_factory=list)  # stored tables that the job itself does not read
     released: bool = False
 
     def levels(self) -> list[Level]:

@@ -230,6 +230,7 @@ class Rewriter:
             inputs = stored
         else:  # the job's rows are not stored, only the lineage of the named groups
             stored = self.store(state, focused.select(*lineage))
+            self.graph.apart.append(stored)
             inputs = flow
         level.table = stored
         if distinct is not None:
