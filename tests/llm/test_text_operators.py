@@ -304,6 +304,21 @@ def test_frequent_lines_are_removed_and_depleted_documents_go(spark):
     assert clean[100].text == own(1000) and clean[100].n_chars == len(own(1000)) and 140 not in clean and len(clean) == 190
 
 
+def test_a_line_of_many_documents_is_frequent_in_any_host(spark, monkeypatch):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    # 60 of 1,000 texts hold the first line, below SHARE; 30 hold the second, below MOST_DOCS.
+    texts = [own(i) + ("\nAll  rights reserved" if i < 60 else "") + ("\nsome rights" if i < 30 else "") for i in range(1000)] + [own(3) + "\nall rights reserved\nsome rights"] * 5
+    df = spark.createDataFrame([(i, t, "en", "host", len(t)) for i, t in enumerate(texts)] + [(None, None, None, None, None)], DOCS)
+    by_way = []
+    for most in (quality.BROADCAST_LINES, 0):
+        monkeypatch.setattr(quality, "BROADCAST_LINES", most)
+        clean = {x.doc_id: x.text for x in quality.cleaned(df).collect()}
+        assert len(clean) == 1005 and clean[40] == own(40) and clean[10] == own(10) + "\nsome rights" and clean[1003] == own(3) + "\nsome rights"
+        assert all(x.removed_words == 0 for x in quality.quality(df).collect())  # the rule that the SQL of op5 states
+        by_way.append(sorted(quality.judged(quality.measured(df), most_docs=20).select("doc_id", "removed_words", "kept").na.fill(-1).collect()))
+    assert by_way[0] == by_way[1] and sum(x.removed_words > 0 for x in by_way[0]) == 65
+
+
 def test_targets_and_routes():
     assert targets_of([10, 100, 5, 20], [5, 2, 1, 5], 3) == [30, 30, 15, 60]
     assert targets_of([], [], 3) == [] and targets_of([0, 0], [5, 2], 3) == [0, 0]

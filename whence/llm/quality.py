@@ -2,12 +2,13 @@
 
 Lines are normalised (lower case, white space collapsed, trimmed) and hashed. For each host the number of different documents that
 hold a line is counted; exact copies of a text count as one document, so a copied document does not make its own lines frequent.
-A line is above the limit when at least LEAST_DOCS documents and SHARE of the host's documents hold it. Such lines are removed, and a document that
+A line is above the limit when at least LEAST_DOCS documents and SHARE of the host's documents hold it; `most_docs` documents are always enough, so that
+the limit does not grow with the host. The query op5 leaves `most_docs` out, as its SQL has no such bound; the pipeline takes MOST_DOCS. Such lines are removed, and a document that
 keeps fewer than LEAST_WORDS words, or less than LEAST_PART of its words, is depleted and rejected.
 
 Repeated words are found inside the row: every 8-word window is hashed to 64 bits, and windows whose hash occurs twice or
-more cover their words. The frequent lines of a host number at most 1/SHARE times the lines of its mean document, so
-one array per host holds them.
+more cover their words. Frequent lines are rows of host and hash, as many as there are. Up to BROADCAST_LINES of them are broadcast, by host in
+buckets; beyond, the lines of each text are joined with them, salted, and each text keeps only the hashes of its own frequent lines.
 
 Nulls: a null text has no words (rejected by the base rule); a null source is a host of its own; null ids pass through.
 An empty table gives an empty result; equal rows get equal verdicts.
@@ -24,8 +25,10 @@ from .common import GAP, WORD, keep, text_of
 
 LEAST_DOCS, SHARE, LEAST_WORDS, LEAST_PART = 20, 0.1, 20, 0.3
 WINDOW = 8
-#: Hashes of frequent lines, over all hosts, up to which they are broadcast; beyond, hosts are joined by a shuffle.
-BROADCAST_LINES = 500_000
+#: Documents of a host that always make a line frequent, in the pipeline: SHARE of 500 texts.
+MOST_DOCS = 50
+#: Hashes of frequent lines, over all hosts, up to which they are broadcast; buckets of a host's hashes; parts that a key is dealt to beyond.
+BROADCAST_LINES, BUCKETS, SALTS = 500_000, 1024, 32
 
 
 def host_of(source: Column) -> Column:
@@ -74,20 +77,43 @@ def measured(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def frequent_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
-    """host, frequent: the hashes of the lines that are above the host's limit; from the output of `measured`."""
+def frequent_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, most_docs: int | None = None) -> DataFrame:
+    """host, h: the hashes of the lines that are above the host's limit; from the output of `measured`."""
     texts = rows.groupBy("host", "mark").agg(F.count("*").alias("copies"))
     hosts = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
-    held = rows.select("host", "mark", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).groupBy("host", "h", "mark").agg(F.lit(1).alias("one"))
+    held = own_lines(rows).groupBy("host", "h", "mark").agg(F.lit(1).alias("one"))
     held = held.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs)
-    return held.join(hosts, "host").filter(F.col("n") >= share * F.col("n_texts")).groupBy("host").agg(F.collect_set("h").alias("frequent"))
+    above = F.col("n") >= share * F.col("n_texts")
+    return held.join(hosts, "host").filter(above if most_docs is None else above | (F.col("n") >= most_docs)).select("host", "h")
 
 
-def judged(rows: DataFrame, least_words: int = LEAST_WORDS, least_part: float = LEAST_PART) -> DataFrame:
-    """The rows of `measured` with frequent, removed_words and kept."""
-    above = keep(frequent_lines(rows), "frequent-lines")
-    held = above.agg(F.coalesce(F.sum(F.size("frequent")), F.lit(0)).alias("n")).first()["n"]
-    df = rows.join(F.broadcast(above) if held <= BROADCAST_LINES else above, "host", "left")
+def own_lines(rows: DataFrame) -> DataFrame:
+    """host, mark, h: the different line hashes of each row."""
+    return rows.select("host", "mark", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+
+
+def _bucketed(rows: DataFrame, above: DataFrame) -> DataFrame:
+    """The rows with frequent: the hashes of the row's own frequent lines, looked up in the buckets of its host."""
+    hosts = above.groupBy("host").agg(F.collect_set("h").alias("hs")).withColumn("size_", F.least(F.lit(BUCKETS), F.size("hs")))
+    buckets = F.transform(F.sequence(F.lit(0), F.col("size_") - 1), lambda b: F.filter("hs", lambda h: F.pmod(h, F.col("size_").cast("long")) == b))
+    df = rows.join(F.broadcast(hosts.select("host", "size_", buckets.alias("buckets_"))), "host", "left")
+    held = F.filter(F.array_distinct(F.transform("lines", lambda x: x["h"])), lambda h: F.array_contains(F.get("buckets_", F.pmod(h, F.col("size_").cast("long")).cast("int")), h))
+    return df.withColumn("frequent", F.when(F.col("size_").isNotNull(), held)).drop("size_", "buckets_")
+
+
+def _salted(rows: DataFrame, above: DataFrame) -> DataFrame:
+    """The same by joins: of lines with frequent ones, then of texts with what they hold; keys are dealt to SALTS parts."""
+    copied = lambda df: df.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = lambda c: F.pmod(c, F.lit(SALTS)).cast("int")
+    own = own_lines(rows).distinct().withColumn("salt_", salt(F.col("mark")))
+    hits = own.join(copied(above), ["host", "h", "salt_"]).groupBy("host", "mark").agg(F.collect_set("h").alias("frequent"))
+    return rows.withColumn("salt_", salt(F.xxhash64("doc_id"))).join(copied(hits), ["host", "mark", "salt_"], "left").drop("salt_")
+
+
+def judged(rows: DataFrame, least_words: int = LEAST_WORDS, least_part: float = LEAST_PART, most_docs: int | None = None) -> DataFrame:
+    """The rows of `measured` with frequent (of the row's own lines), removed_words and kept."""
+    above = keep(frequent_lines(rows, most_docs=most_docs), "frequent-lines")
+    df = _bucketed(rows, above) if above.count() <= BROADCAST_LINES else _salted(rows, above)
     removed = F.aggregate(F.filter("lines", lambda x: F.array_contains(F.col("frequent"), x["h"])), F.lit(0), lambda a, x: a + x["w"])
     df = df.withColumn("removed_words", F.when(F.col("frequent").isNull(), F.lit(0)).otherwise(removed).cast("long"))
     left = F.col("n_words") - F.col("removed_words")
@@ -101,9 +127,9 @@ def quality(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The columns of documents, of the kept documents only, frequent lines removed from their texts."""
+    """The columns of documents, of the kept documents only, frequent lines (MOST_DOCS documents are enough) removed from their texts."""
     names = ("text", "lang", "source", "n_chars")
-    df = judged(keep(measured(docs, names), "quality")).filter("kept")
+    df = judged(keep(measured(docs, names), "quality"), most_docs=MOST_DOCS).filter("kept")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("frequent"), _line_hash(x))), "\n")
     df = df.withColumn("text_", F.when(F.col("removed_words") > 0, left).otherwise(F.col("text")))
     return df.select("doc_id", F.col("text_").alias("text"), "lang", "source", F.when(F.col("removed_words") > 0, F.char_length("text_").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
