@@ -44,6 +44,26 @@ def test_novelty_reports_random_strings_in_context_only():
     assert secrets.redact("a token=abcdefabcdef1234 b", secrets.scan("a token=abcdefabcdef1234 b")) == "a [assign removed] b"
 
 
+def test_whole_keys_and_tokens_are_spanned():
+    r = random.Random(5)
+    chars = "".join(chr(x) for x in (*range(48, 58), *range(65, 91), *range(97, 123)))
+    some = lambda n: "".join(r.choice(chars) for _ in range(n - 2)) + r.choice("0123456789") + r.choice("abc")
+    marked = lambda t: secrets.redact(t, secrets.scan(t))
+    assert marked(f"the credential is {some(9000)}, keep it") == "the credential is [novel removed], keep it"
+    for end in ("\n", "\r\n", "\\n", "\n    "):
+        for tail in (64, 20, 7, 1):
+            key = end.join([*[some(64) for _ in range(24)], some(64)[:tail]])
+            assert marked(f"-----BEGIN PRIVATE KEY-----{end}{key}{end}-----END PRIVATE KEY-----\nand on") == f"-----BEGIN PRIVATE KEY-----{end}[novel removed]{end}-----END PRIVATE KEY-----\nand on"
+    assert marked(f"Authorization: Bearer {some(36)}.{some(90)}.{some(43)} more.") == "Authorization: Bearer [novel removed] more."
+    assert marked(f"the session is {some(24)}.{some(6)}.{some(27)}\nKeep it") == "the session is [novel removed]\nKeep it"
+    first, more = some(64), "\n".join(some(64) for _ in range(5))
+    assert marked(f"secret = {first}\n{more}\n\nRegards") == "[assign removed]\n[novel removed]\n\nRegards"
+    names = "configuration_settings_one\nnumber_of_sessions_open\n"
+    assert marked(f"the credential is {some(20)}\n{names}{some(20)}\nand on") == f"the credential is [novel removed]\n{names}[novel removed]\nand on"
+    many = "auth_configuration_settings_of_all\n" * 20_000 + "token " * 50_000
+    assert not secrets.scan(many)
+
+
 def test_secret_queries_on_awkward_rows(spark):
     df = frame(spark, [*AWKWARD, "token = '0123456789abcdef'"])
     rows = {r.doc_id: r for r in secrets.secret_digests(df.withColumn("spans", df.lang)).collect()}

@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and strings in a sensitive context that a primed compressor finds new.
 
-Candidates are long token-like strings that follow a sensitive word closely. Each is compressed by zstandard together with
+Candidates are long token-like strings, of any length, that follow a sensitive word or another find closely. Each is compressed by zstandard together with
 the code around it, under a dictionary of common identifiers; what it adds to the size of its surroundings alone is its
 novelty. Names, paths and repeated values add little; random material adds nearly a byte for each character
-and is reported as kind `novel`. Spans of the fixed patterns always stay.
+and is reported as kind `novel`. Spans of the fixed patterns always stay. Tokens that only a line end or dots separate are a run: from its first
+find on a run is followed to its end, and one span reaches from the first find to the last, so keys in many lines and tokens in parts are spanned whole. The last line of a
+key may be short.
 
 A null text counts as empty, an empty text has no spans; texts of any length are scanned whole. Offsets are code points.
 """
@@ -25,7 +27,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|signature|session)", re.IGNORECASE | re.ASCII)
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+TOKEN = re.compile(r"(?:(?<!\\)|(?![nrt]))[A-Za-z0-9+/_=-]{16,}")  # not the letter of an escape
+# What stands between the tokens of a run (line ends also as written in string literals), and a key's short last line.
+LINE_END = r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
+JOINED = re.compile(rf"(?:\.[A-Za-z0-9+/_=-]{{1,15}})*\.|{LINE_END}")
+LAST_LINE = re.compile(rf"{LINE_END}((?!-----)[A-Za-z0-9+/_=-]+?)(?P<closed>(?:{LINE_END})-----END)?(?=[\x20\t]*(?:[\r\n\\\"'`]|-----END|\Z))")
 # Identifiers and phrases of ordinary code, which prime the compressor.
 IDENTIFIERS = """import from return self class public private static const function async await string number boolean null none true false
 default config settings environment variable process system request response header content application json authorization
@@ -33,7 +39,7 @@ username password passwd secret token access_token refresh_token session_id api_
 database connection host port user root admin localhost example test sample placeholder changeme your_password_here your_api_key
 get set put post delete update select insert value values index length size name type path file data key code error message result
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 0000000000000000 xxxxxxxxxxxxxxxx"""
-#: Characters after a sensitive word in which a candidate may start; characters of surroundings; least bytes added, and per character.
+#: Characters after a sensitive word or a find in which a candidate may start; characters of surroundings; least bytes added, and per character.
 REACH, AROUND, LEAST_BYTES, LEAST_RATE = 40, 256, 12, 0.7
 
 
@@ -64,19 +70,72 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def _tokens(text: str):
+    """A function from a position to the first token from there on, for positions that do not fall; the text is passed once."""
+    last = [TOKEN.search(text)]
+
+    def after(at: int) -> re.Match | None:
+        if last[0] and last[0].start() < at:
+            last[0] = TOKEN.search(text, at)
+        return last[0]
+
+    return after
+
+
+def _spans(text: str, run: list[tuple[int, int, bool, bool, bool]]) -> list[tuple[int, int]]:
+    """Adjacent finds of a run as one span, with the lines of one length and the mixed parts beside them, and a key's shorter last line."""
+
+    def belongs(i: int, beside: int) -> bool:
+        (s, e, *_), (p, q, *_) = run[i], run[beside]
+        return e - s == q - p if text[max(s, p) - 1] != "." else _mixed(text[s:e])
+
+    held = [x[2] for x in run]
+    for i in range(1, len(run)):
+        held[i] = held[i] or held[i - 1] and belongs(i, i - 1)
+    for i in range(len(run) - 2, -1, -1):
+        held[i] = held[i] or held[i + 1] and belongs(i, i + 1)
+    out, first = [], 0
+    while first < len(run):
+        last = first
+        while held[first] and last + 1 < len(run) and held[last + 1]:
+            last += 1
+        part, first = run[first : last + 1], last + 1
+        if not any(new for *_, new in part):
+            continue
+        own = [(s, e) for s, e, _, inside, _ in part if not inside]  # the others are spanned by fixed patterns
+        end, width = own[-1][1], own[-1][1] - own[-1][0]
+        wrapped = len(own) > 1 and text[own[-1][0] - 1] != "." and width == own[-2][1] - own[-2][0]
+        m = LAST_LINE.match(text, end)
+        out.append((own[0][0], m.end(1) if m and (m["closed"] or m[1].endswith("=") or wrapped and len(m[1]) <= width) else end))
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out, done = [], 0
     taken = sorted((s, e) for s, e, _ in base)
+    after = _tokens(text)
     for m in SENSITIVE.finditer(text):
-        for c in TOKEN.finditer(text, max(done, m.end()), m.end() + REACH + 4096):
-            if c.start() > m.end() + REACH:
-                break
-            done = max(done, c.end())
-            if any(s < c.end() and c.start() < e for s, e in taken) or not _mixed(c[0]):
+        reach, run = m.end() + REACH, []  # run: start, end, found, inside the span of a fixed pattern, found new
+        while True:
+            c = after(max(done, m.end()))
+            joined = bool(run and c and JOINED.fullmatch(text, run[-1][1], c.start()))
+            if run and not joined:
+                for s, e in _spans(text, run):
+                    out.append((s, e, "novel"))
+                    done = max(done, e)
+                run = []
                 continue
-            added = novelty(c[0], text[max(0, c.start() - AROUND) : c.start()], text[c.end() : c.end() + AROUND])
-            if added >= LEAST_BYTES and added >= LEAST_RATE * (c.end() - c.start()):
-                out.append((c.start(), c.end(), "novel"))
+            if not c or c.start() > reach and not joined:
+                break
+            done = c.end()
+            over = [(s, e) for s, e in taken if s < c.end() and c.start() < e]
+            new = False
+            if not over and _mixed(c[0]):
+                added = novelty(c[0], text[max(0, c.start() - AROUND) : c.start()], text[c.end() : c.end() + AROUND])
+                new = added >= LEAST_BYTES and added >= LEAST_RATE * (c.end() - c.start())
+            if over or new:
+                reach = max(reach, c.end() + REACH)
+            run.append((c.start(), c.end(), bool(over) or new, any(s <= c.start() and c.end() <= e for s, e in over), new))
     return out
 
 
