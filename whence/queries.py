@@ -100,6 +100,8 @@ _CUST, _CUSTS = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment", "SELE
 _JOIN = "select l_orderkey, l_linenumber, o_totalprice from {lineitem} join {orders} on l_orderkey = o_orderkey"
 _add("trace_join_left", _trace(_JOIN, "l_orderkey % 500 = 7", (0,), LINE), _lines("l_orderkey % 500 = 7"))
 _add("trace_join_right", _trace(_JOIN, "l_orderkey % 500 = 7", (1,), _ORDER), _ORDERS + "o_orderkey % 500 = 7 and o_orderkey in (select l_orderkey from lineitem)")
+_add("trace_join_left_all", _trace(_JOIN, "true", (0,), LINE), _lines("l_orderkey in (select o_orderkey from orders)"))
+_add("trace_join_right_all", _trace(_JOIN, "true", (1,), _ORDER), _ORDERS + "o_orderkey in (select l_orderkey from lineitem)")
 _LONE = "o_orderkey not in (select l_orderkey from lineitem)"
 _add("trace_left_outer_unmatched", _trace("select o_orderkey, l_linenumber from {orders} left join {lineitem} on l_orderkey = o_orderkey", "l_linenumber is null", (0,), _ORDER), _ORDERS + _LONE)
 _add("trace_right_outer", _trace("select l_linenumber, o_orderkey from {lineitem} right join {orders} on l_orderkey = o_orderkey", "l_linenumber is null", (1,), _ORDER), _ORDERS + _LONE)
@@ -138,6 +140,7 @@ _add("trace_union_b1", _trace(_UNION, "true", (1,), _ORDER), _ORDERS + "o_totalp
 _add("trace_union_agg", _trace("select f, sum(q) as s from (select l_returnflag as f, l_quantity as q from {lineitem} union all select l_returnflag as f, l_tax as q from {lineitem} where l_tax > 0.04) group by f", "f = 'R'", (0, 1), LINE), _lines("l_returnflag = 'R' and l_tax > 0.04"))
 _add("trace_union_of_aggs", _trace("select l_returnflag as f, sum(l_quantity) as s from {lineitem} group by 1 union all select o_orderstatus as f, sum(o_totalprice) as s from {orders} group by 1", "true", (1, 0), _ORDER), _ORDERS + "true")
 _add("trace_union_distinct", _trace("select l_suppkey as k from {lineitem} where l_quantity > 49 union select s_suppkey as k from {supplier}", "k < 20", (0, 1), "s_suppkey, s_name"), "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey < 20")
+_add("trace_union_distinct_all", _trace("select l_suppkey as k from {lineitem} where l_quantity > 49 union select s_suppkey as k from {supplier}", "true", (0, 1), "s_suppkey, s_name"), "SELECT s_suppkey, s_name FROM supplier")
 _add("trace_intersect", _trace("select c_custkey as k from {customer} where c_acctbal > 0 intersect select o_custkey as k from {orders}", "true", (0, 0), _CUST), _CUSTS + "c_acctbal > 0 and c_custkey in (select o_custkey from orders)")
 _add("trace_except", _trace("select o_orderkey as k from {orders} except select l_orderkey as k from {lineitem}", "true", (0, 0), _ORDER), _ORDERS + _LONE)
 _add("trace_explode", _trace("select w, count(*) as n from (select explode(split(text, ' ')) as w from {documents}) group by w", "w = 'the'", (0,), "doc_id, lang, source"), "SELECT doc_id, lang, source FROM documents WHERE list_contains(string_split(text, ' '), 'the')")
@@ -155,17 +158,18 @@ def trace_cached_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("trace_cached_source", trace_cached_source, _CUSTS + "c_mktsegment = 'BUILDING' and c_acctbal > 0")
 
 
-def trace_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From a few source rows to all groups that they reach."""
+def trace_forward(spark: SparkSession, sf_dir: str, rows: str = "l_orderkey % 700 = 5") -> DataFrame:
+    """From some source rows, by default a few, to all groups that they reach."""
     t = Lineage(spark)
     df = _frame(spark, sf_dir, "select l_suppkey as k, sum(l_quantity) as s, count(*) as c from {lineitem} group by 1")
     back = t.trace_where(df, "true").go_back()
-    few = back.witnesses(full=True, keep_id="__id").filter("l_orderkey % 700 = 5").select(F.col("__id").alias("id"))
+    few = back.witnesses(full=True, keep_id="__id").filter(rows).select(F.col("__id").alias("id"))
     up = Cursor(back.graph, back.level, few, back.path, 0, t).go_next()
     return t.result(df, "id").join(up.frontier, "id", "left_semi").select("k", F.round("s", 2).alias("s"), "c")
 
 
 _add("trace_forward", trace_forward, "SELECT l_suppkey AS k, round(sum(l_quantity), 2) AS s, count(*) AS c FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 700 = 5) GROUP BY 1")
+_add("trace_forward_all", lambda spark, sf_dir: trace_forward(spark, sf_dir, "true"), "SELECT l_suppkey AS k, round(sum(l_quantity), 2) AS s, count(*) AS c FROM lineitem GROUP BY 1")
 
 
 def trace_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,16 +340,25 @@ def rdd_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows.filter(lambda d: " and the " in d[1]).getLineage().toRDD().map(lambda d: (d[0],)), "doc_id long")
 
 
-def rdd_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders behind a joined record, at the granularity of its key: all orders of the customer."""
+def _joined(spark: SparkSession, sf_dir: str):
     lc = LineageContext(spark.sparkContext)
     orders = lc._source(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").rdd.map(tuple))
     customers = lc._source(table(spark, sf_dir, "customer").select("c_custkey", "c_name").rdd.map(tuple))
-    joined = orders.join(customers)
+    return orders.join(customers)
+
+
+def rdd_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders behind a joined record, at the granularity of its key: all orders of the customer."""
+    joined = _joined(spark, sf_dir)
     ids = sorted({i for (k, _), i in joined.filter(lambda kv: kv[0] in (4, 7)).collectWithId() if k in (4, 7)})
     return spark.createDataFrame(joined.getLineage().filter(ids).goBack(0).toRDD().map(lambda o: (o[0], o[1])), "o_custkey long, o_orderkey long")
 
 
+def rdd_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders behind all joined records; no ids reach the driver."""
+    return spark.createDataFrame(_joined(spark, sf_dir).getLineage().goBack(0).toRDD().map(lambda o: (o[0], o[1])), "o_custkey long, o_orderkey long")
+
+
 def rdd_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     lc = LineageContext(spark.sparkContext)
     rows = lc._source(table(spark, sf_dir, "documents").select("doc_id", "lang").rdd.map(tuple))
@@ -357,6 +370,7 @@ def rdd_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("rdd_wordcount", rdd_wordcount, "SELECT doc_id FROM documents WHERE list_contains(string_split(text, ' '), 'the')")
 _add("rdd_grep", rdd_grep, "SELECT doc_id FROM documents WHERE contains(text, ' and the ')")
 _add("rdd_join", rdd_join, "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (4, 7)")
+_add("rdd_join_all", rdd_join_all, "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
 _add("rdd_distinct", rdd_distinct, "SELECT doc_id FROM documents WHERE lang = 'de'")
 
 
