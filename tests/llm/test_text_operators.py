@@ -234,10 +234,13 @@ def naive_components(sets, num, den):
     return [root(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("leaf", [400, 7])
+@pytest.mark.parametrize("leaf", [400, 3])
 @pytest.mark.parametrize("n, num, den", [(4, 85, 100), (5, 80, 100)])
 def test_join_equals_all_pairs(spark, n, num, den, leaf, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    if leaf < 400:  # large groups: tokens that stay in their task, ranges of tokens, tables joined by shuffles
+        for name, value in (("LOCAL", 2), ("PACK", 500), ("RANGE", 300), ("SMALL", 0)):
+            monkeypatch.setattr(ngram_join, name, value)
     r = random.Random(n)
     base = [[r.choice("abcdefghijklmnop") * r.randint(1, 3) for _ in range(r.choice([3, 5, 8, 20, 60, 200]))] for _ in range(25)]
     texts = [*AWKWARD, "A b  C", "a B\tc"]
@@ -273,13 +276,31 @@ def test_components_of_chains_stars_and_later_edges(spark):
 def test_rtree_finds_all_that_the_bound_allows():
     np = ngram_join.np
     rng = np.random.default_rng(3)
-    points = rng.poisson(3, (150, ngram_join.DIMS)).astype(np.int32)
-    points[50:100] = np.maximum(points[:50] - (rng.random((50, ngram_join.DIMS)) < 0.1), 0)
-    sizes = points.sum(1)
-    tree = ngram_join.RTree(points, sizes)
-    for i in range(150):
-        want = [j for j in range(150) if np.minimum(points[i], points[j]).sum() * 185 >= 85 * (sizes[i] + sizes[j]) and sizes[j] * 100 >= 85 * sizes[i] and sizes[i] * 100 >= 85 * sizes[j]]
-        assert set(want) <= set(tree.query(points[i], int(sizes[i]), 85, 100).tolist())
+    points = rng.poisson(3, (150, 64)).astype(np.int32)
+    points[50:100] = np.maximum(points[:50] - (rng.random((50, 64)) < 0.1), 0)
+    sizes, labels = points.sum(1), rng.integers(0, 40, 150)
+    i, j, _ = ngram_join.RTree(points, sizes, labels).pairs(85, 100)
+    want = {(x, y) for x in range(150) for y in range(x) if labels[x] != labels[y] and ngram_join.allowed(points[x], points[y], 85, 100)}
+    assert want and {(max(p), min(p)) for p in zip(i.tolist(), j.tolist(), strict=True)} >= want
+    ids = np.arange(150)
+    every, left = ngram_join.candidates(ids, labels, sizes, list(points), 85, 100, False)
+    some, _ = ngram_join.candidates(ids, labels, sizes, list(points), 85, 100, True)
+    assert set(every) >= want and not left and set(some) <= set(every) and len(some) < 40
+
+
+def test_folded_points_never_hide_a_link():
+    np = ngram_join.np
+    rng = np.random.default_rng(5)
+    for n in (3, 60, 100, 129, 600, 5000):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        for share in (0.99, 0.93, 0.9):
+            b = np.concatenate([a[: int(share * n)], np.unique(rng.integers(0, 1 << 62, n - int(share * n)).astype(np.uint64))])
+            both = len(np.intersect1d(a, b))
+            p, q = ngram_join.point(a), ngram_join.point(b)
+            assert np.array_equal(ngram_join.unpacked(ngram_join.packed(p)), p) and ngram_join.unpacked(ngram_join.packed(p + 300)).tolist() == (p + 300).tolist()
+            assert 100 * both < 80 * (len(a) + len(b) - both) or ngram_join.allowed(p, q, 80, 100)
+        other = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        assert n < 60 or not ngram_join.allowed(ngram_join.point(a), ngram_join.point(other), 80, 100)
 
 
 def test_join_on_odd_tables(spark):

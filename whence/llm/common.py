@@ -31,13 +31,15 @@ def n_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if got.isEmpty():
+        if got.isEmpty() and spark.sparkContext.master.split("[")[0] == "local":  # one machine: no other executor needs the folder
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="whence-"))
             got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if got.isEmpty():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = got.get()
     return where.rstrip("/")
 
@@ -56,7 +58,21 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/whence-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `keep` wrote, once all that reads them is written; shuffles that nothing refers to go as well."""
+    for t in tables:
+        _forget(t.sparkSession, t.kept_at)
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def small_or_not(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """`df`, of which the number of (narrow) rows is known: broadcast up to `most` of them, joined by a shuffle beyond."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
