@@ -64,6 +64,46 @@ def test_whole_keys_and_tokens_are_spanned():
     assert not secrets.scan(many)
 
 
+def planted_secrets(r):
+    """Texts with a secret (and where it stands), and texts without one, both with sensitive words and long names."""
+    letters = "".join(chr(x) for x in (*range(48, 58), *range(65, 91), *range(97, 123)))
+    some = lambda n, chars=letters: "".join(r.choices(chars, k=n - 2)) + r.choice("23456789") + r.choice("kqz")
+    plain = lambda: " ".join("".join(r.choices("aeioulnrst", k=r.randint(2, 9))) for _ in range(30))
+    shapes = ["the credential is {}", "Authorization: Bearer {}", 'pwd = "{}"', "session id {} was opened", 'auth("{}")', "private key\n{}", "token = '{}'", 'secret: "{}"']
+    for _ in range(40):
+        for shape in shapes:
+            value = some(r.randint(10, 14), letters + "!@#$%^&*") if shape.startswith(("pwd", "auth")) else some(r.choice([20, 32, 64, 200]))
+            head = f"{plain()}\n{shape.partition('{}')[0]}"
+            yield f"{head}{value}{shape.partition('{}')[2]}\n{plain()}", (len(head), len(head) + len(value))
+        name = r.choice(["configuration_settings_2", "number_of_sessions_v1", "src/main/resources/config", "access_token_placeholder_1", "xxxxxxxxxxxxxxxxxxxx1a", "your_password_here_your_api_key_1a"])
+        yield f"{plain()}\nthe {r.choice(['session', 'credential', 'auth'])} of {name} is in {name}\n{plain()}", None
+
+
+def test_planted_secrets_are_found_and_clean_texts_left_alone():
+    r, caught, whole, planted, wrong, clean = random.Random(12), 0, 0, 0, 0, 0
+    for text, at in planted_secrets(r):
+        spans, measured = secrets.scan_measured(text)
+        assert all(e - s == len(text[s:e]) and added >= 0 for s, e, added in measured)
+        if at is None:
+            clean += 1
+            wrong += bool(spans)
+        else:
+            planted += 1
+            caught += any(k == "novel" and s <= at[0] and at[1] <= e for s, e, k in spans)
+            whole += text[at[0] : at[1]] not in secrets.redact(text, spans)
+    assert planted == 320 and caught >= 0.97 * planted and whole >= 0.98 * planted and wrong <= 0.05 * clean
+
+
+def test_novelty_of_what_fixed_patterns_cover():
+    text = 'a note: token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and on'
+    spans, measured = secrets.scan_measured(text)
+    assert [k for *_, k in spans] == ["assign", "hex", "novel"] and len(measured) == 1 and text[measured[0][0] : measured[0][1]].startswith("04db")
+    again = f"{text} {text}"  # the second adds nothing to its surroundings, nor the first
+    assert [k for *_, k in secrets.scan(again)] == ["assign", "hex"] * 2 and len(secrets.scan_measured(again)[1]) == 2
+    many = "token " + "deadbeefdeadbeef1 " * 30_000  # many base spans beside many candidates
+    assert len(secrets.scan_measured(many)[1]) == 30_000
+
+
 def test_secret_queries_on_awkward_rows(spark):
     df = frame(spark, [*AWKWARD, "token = '0123456789abcdef'"])
     rows = {r.doc_id: r for r in secrets.secret_digests(df.withColumn("spans", df.lang)).collect()}

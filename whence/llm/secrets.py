@@ -1,20 +1,23 @@
 """Secret scans: fixed patterns, and strings in a sensitive context that a primed compressor finds new.
 
-Candidates are long token-like strings, of any length, that follow a sensitive word or another find closely. Each is compressed by zstandard together with
+Candidates are strings of any length that follow a sensitive word or another find closely: long token-like strings, and shorter ones that stand in quotes. Each is compressed by zstandard together with
 the code around it, under a dictionary of common identifiers; what it adds to the size of its surroundings alone is its
-novelty. Names, paths and repeated values add little; random material adds nearly a byte for each character
+novelty. Every candidate is measured, also where a fixed pattern covers it. Names, paths and values that the surroundings repeat add little; random material adds nearly a byte for each character
 and is reported as kind `novel`. Spans of the fixed patterns always stay. Tokens that only a line end or dots separate are a run: from its first
-find on a run is followed to its end, and one span reaches from the first find to the last, so keys in many lines and tokens in parts are spanned whole. The last line of a
-key may be short.
+find on a run is followed to its end, and one span reaches from the first find to the last, so keys in many lines and tokens in parts are spanned whole; finds inside the span of a
+fixed pattern have spans of their own. The last line of a key may be short.
 
-A null text counts as empty, an empty text has no spans; texts of any length are scanned whole. Offsets are code points.
+A null text counts as empty, an empty text has no spans; texts of any length are scanned whole. Offsets are code points. Rows are scanned each for itself: equal rows, and rows that
+repeat an id, give as many equal rows; an empty table gives an empty result; extra columns are not read and not returned.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +30,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|signature|session)", re.IGNORECASE | re.ASCII)
-TOKEN = re.compile(r"(?:(?<!\\)|(?![nrt]))[A-Za-z0-9+/_=-]{16,}")  # not the letter of an escape
+#: Strings of 8 to 40 characters in quotes, and long ones anywhere.
+TOKEN = re.compile(r"""(?<=["'`])(?![^"'`]*://)[^\s"'`\\<>(){}]{8,40}(?=["'`])|(?:(?<!\\)|(?![nrt]))[A-Za-z0-9+/_=-]{16,}""")  # not the letter of an escape
 # What stands between the tokens of a run (line ends also as written in string literals), and a key's short last line.
 LINE_END = r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
 JOINED = re.compile(rf"(?:\.[A-Za-z0-9+/_=-]{{1,15}})*\.|{LINE_END}")
@@ -39,8 +43,10 @@ username password passwd secret token access_token refresh_token session_id api_
 database connection host port user root admin localhost example test sample placeholder changeme your_password_here your_api_key
 get set put post delete update select insert value values index length size name type path file data key code error message result
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 0000000000000000 xxxxxxxxxxxxxxxx"""
-#: Characters after a sensitive word or a find in which a candidate may start; characters of surroundings; least bytes added, and per character.
-REACH, AROUND, LEAST_BYTES, LEAST_RATE = 40, 256, 12, 0.7
+#: Characters after a sensitive word or a find in which a candidate may start; characters of surroundings.
+REACH, AROUND = 40, 256
+#: Least bytes added for each character, of candidates of LONG characters or more and of shorter ones; least bytes of a long one.
+LONG, LEAST_RATE, SHORT_RATE, LEAST_BYTES = 16, 0.7, 1.0, 12
 
 
 @lru_cache(1)
@@ -56,6 +62,11 @@ def novelty(candidate: str, before: str, after: str) -> int:
     return len(c.compress((before + after + candidate).encode())) - len(c.compress((before + after).encode()))
 
 
+def is_new(candidate: str, added: int) -> bool:
+    n = len(candidate)
+    return added >= LEAST_BYTES and added >= LEAST_RATE * n if n >= LONG else added >= SHORT_RATE * n
+
+
 def _mixed(s: str) -> bool:
     """A digit and a letter, or both cases with a digit: plain words and plain numbers are no candidates."""
     return any(c.isdigit() for c in s) and sum(not c.isdigit() for c in s) >= 2
@@ -110,9 +121,11 @@ def _spans(text: str, run: list[tuple[int, int, bool, bool, bool]]) -> list[tupl
     return out
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    out, done = [], 0
+def novel_spans(text: str, base: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int]]]:
+    """Spans of kind novel; and start, end and novelty of every candidate that was measured."""
+    out, measured, done = [], [], 0
     taken = sorted((s, e) for s, e, _ in base)
+    starts, reached = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     after = _tokens(text)
     for m in SENSITIVE.finditer(text):
         reach, run = m.end() + REACH, []  # run: start, end, found, inside the span of a fixed pattern, found new
@@ -128,22 +141,32 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
             if not c or c.start() > reach and not joined:
                 break
             done = c.end()
-            over = [(s, e) for s, e in taken if s < c.end() and c.start() < e]
+            before, at = bisect_left(starts, c.end()), bisect_right(starts, c.start())
+            over = before > 0 and reached[before - 1] > c.start()
+            inside = at > 0 and reached[at - 1] >= c.end()
             new = False
-            if not over and _mixed(c[0]):
+            if _mixed(c[0]):
                 added = novelty(c[0], text[max(0, c.start() - AROUND) : c.start()], text[c.end() : c.end() + AROUND])
-                new = added >= LEAST_BYTES and added >= LEAST_RATE * (c.end() - c.start())
+                new = is_new(c[0], added)
+                measured.append((c.start(), c.end(), added))
             if over or new:
                 reach = max(reach, c.end() + REACH)
-            run.append((c.start(), c.end(), bool(over) or new, any(s <= c.start() and c.end() <= e for s, e in over), new))
-    return out
+            if new and inside:
+                out.append((c.start(), c.end(), "novel"))
+            run.append((c.start(), c.end(), over or new, inside, new and not inside))
+    return out, measured
 
 
-def scan(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of every span, by start and then kind in the order of KINDS."""
+def scan_measured(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int]]]:
+    """(start, end, kind) of every span, by start and then kind in the order of KINDS; and what was measured."""
     text = text or ""
     base = base_spans(text)
-    return sorted(base + novel_spans(text, base), key=lambda x: (x[0], KINDS.index(x[2])))
+    novel, measured = novel_spans(text, base)
+    return sorted(base + novel, key=lambda x: (x[0], KINDS.index(x[2]))), measured
+
+
+def scan(text: str | None) -> list[tuple[int, int, str]]:
+    return scan_measured(text)[0]
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -172,7 +195,8 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     """Counts and digests of what `secret_spans` finds, made beside the scan so that spans need no second pass."""
 
     def run(b: pa.RecordBatch) -> dict:
-        found = [scan(t) for t in b.column("text").to_pylist()]
+        every = [scan_measured(t) for t in b.column("text").to_pylist()]
+        found = [x for x, _ in every]
         line = lambda spans: ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
         n = lambda kind: [sum(k == kind for _, _, k in x) for x in found]
         return {
@@ -183,9 +207,11 @@ def secret_digests(docs: DataFrame) -> DataFrame:
             "base_sha256": [hashlib.sha256(line([s for s in x if s[2] != "novel"]).encode()).hexdigest() for x in found],
             "spans": [line(x) for x in found],
             "n_novel": n("novel"),
+            "n_measured": [len(x) for _, x in every],
+            "novelty": [sum(added for *_, added in x) for _, x in every],
         }
 
-    return by_batch(docs.select("doc_id", "text"), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long", run)
+    return by_batch(docs.select("doc_id", "text"), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long, n_measured long, novelty long", run)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
