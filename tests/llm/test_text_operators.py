@@ -372,32 +372,60 @@ def test_quality_measures_equal_loops(spark):
         assert x.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and (not x.base_failed or not x.kept)
 
 
+def naive_judged(rows):
+    """removed_words and kept for rows of (doc_id, text, lang, source, n_chars), by loops."""
+    normal = lambda line: " ".join(WORD.findall(line)).lower()
+    lines = [[normal(x) for x in (t or "").split("\n") if WORD.search(x)] for _, t, *_ in rows]
+    docs, texts, hosts = {}, {}, {}
+    for (i, t, _, s, _), own in zip(rows, lines, strict=True):
+        hosts.setdefault(s, set()).add(i)
+        for x in own:
+            docs.setdefault((s, x), set()).add(i)
+            texts.setdefault((s, x), set()).add(t)
+    over = {k for k, v in docs.items() if len(v) >= quality.LEAST_DOCS <= len(texts[k]) and (len(v) >= quality.MOST_DOCS or len(v) >= quality.SHARE * len(hosts[k[0]]))}
+    out = []
+    for (_, t, _, s, _), own in zip(rows, lines, strict=True):
+        n, removed, m = len(WORD.findall(t or "")), sum(len(x.split(" ")) for x in own if (s, x) in over), naive_quality(t)
+        failed = n < 20 or 100 * m[4] > 30 * n
+        out.append((removed, not failed and not (removed and (n - removed < quality.LEAST_WORDS or n - removed < quality.LEAST_PART * n))))
+    return out
+
+
 def test_frequent_lines_are_removed_and_depleted_documents_go(spark):
     own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
     notice = " ".join(f"legal{j}" for j in range(25))
     texts = [own(i) for i in range(100)] + [f"{own(1000 + i)}\n{notice.upper()}" for i in range(40)] + [notice] + [own(7)] * 50
     rows = [(i, t, "en", "host", len(t)) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, DOCS)
+    rows += [(0, texts[0], "en", "host", 1)] * 3 + [(5000, f"{own(1)}\n{own(5000)}", "en", "host", 1)] * 30  # ids that repeat count once
+    rows += [(None, None, None, None, None), (6000, "", "en", None, 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("host", quality.F.lit(1)).withColumn("mark", quality.F.lit(2)).withColumn("kept", quality.F.lit(3))
     got = {x.doc_id: x for x in quality.quality(df).collect()}
     assert not got[140].kept and not got[140].base_failed and all(got[i].kept for i in range(140)) and got[100].removed_words == 25
-    assert all(got[i].kept for i in range(141, 191))  # copies do not make a line frequent
+    assert all(got[i].kept for i in range(141, 191)) and got[5000].removed_words == 0  # copies alone do not make a line frequent
     clean = {x.doc_id: x for x in quality.cleaned(df).collect()}
-    assert clean[100].text == own(1000) and clean[100].n_chars == len(own(1000)) and 140 not in clean and len(clean) == 190
+    assert clean[100].text == own(1000) and clean[100].n_chars == len(own(1000)) and 140 not in clean and len(clean) == 191
+    assert quality.quality(df.limit(0)).count() == 0 and quality.cleaned(df.limit(0)).count() == 0
+    assert [(got[i].removed_words, got[i].kept) for i, *_ in rows[:190]] == naive_judged(rows)[:190]
 
 
-def test_a_line_of_many_documents_is_frequent_in_any_host(spark, monkeypatch):
+def test_line_limits_equal_loops_in_any_host(spark, monkeypatch):
+    r = random.Random(21)
     own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
-    # 60 of 1,000 texts hold the first line, below SHARE; 30 hold the second, below MOST_DOCS.
-    texts = [own(i) + ("\nAll  rights reserved" if i < 60 else "") + ("\nsome rights" if i < 30 else "") for i in range(1000)] + [own(3) + "\nall rights reserved\nsome rights"] * 5
-    df = spark.createDataFrame([(i, t, "en", "host", len(t)) for i, t in enumerate(texts)] + [(None, None, None, None, None)], DOCS)
-    by_way = []
-    for most in (quality.BROADCAST_LINES, 0):
-        monkeypatch.setattr(quality, "BROADCAST_LINES", most)
-        clean = {x.doc_id: x.text for x in quality.cleaned(df).collect()}
-        assert len(clean) == 1005 and clean[40] == own(40) and clean[10] == own(10) + "\nsome rights" and clean[1003] == own(3) + "\nsome rights"
-        assert all(x.removed_words == 0 for x in quality.quality(df).collect())  # the rule that the SQL of op5 states
-        by_way.append(sorted(quality.judged(quality.measured(df), most_docs=20).select("doc_id", "removed_words", "kept").na.fill(-1).collect()))
-    assert by_way[0] == by_way[1] and sum(x.removed_words > 0 for x in by_way[0]) == 65
+    shared = [" ".join(f"s{k}y{j}" for j in range(r.randint(1, 40))) for k in range(12)]
+    rows = []
+    for i in range(900):
+        host = "big" if i < 600 else f"h{i % 7}"
+        parts = [own(r.randrange(i + 1))] * r.choice([1, 1, 0]) + [x.upper() if r.random() < 0.3 else x for k, x in enumerate(shared) if r.random() < 0.5 / (k + 1)]
+        rows.append((r.randrange(i + 1) if r.random() < 0.1 else 1000 + i, "\n".join(parts), "en", host, 0))
+    df = spark.createDataFrame([(*x[:4], k) for k, x in enumerate(rows)], DOCS)
+    for most_docs in (quality.MOST_DOCS, 30):
+        monkeypatch.setattr(quality, "MOST_DOCS", most_docs)
+        want = naive_judged(rows)
+        assert 0 < sum(x > 0 for x, _ in want) < 900 and not all(ok for _, ok in want)
+        for most in (500_000, 0):  # broadcast, and joined with salt
+            monkeypatch.setattr(quality, "BROADCAST_LINES", most)
+            got = {x.n_chars: (x.removed_words, x.kept) for x in quality.judged(quality.measured(df, ("n_chars",)), most_docs=most_docs).collect()}
+            assert [got[k] for k in range(900)] == want
 
 
 def test_targets_and_routes():

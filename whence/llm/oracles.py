@@ -36,13 +36,14 @@ WITH d AS (
 ), hits AS (
   SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS follow FROM (SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS n FROM grams) WHERE n > 1
 ), repeats AS (SELECT k, sum(CASE WHEN follow IS NULL THEN {quality.WINDOW} ELSE least({quality.WINDOW}, follow - i) END) AS n FROM hits GROUP BY k
-), lines AS (SELECT k, host, text, line FROM (SELECT k, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), lines AS (SELECT k, host, doc_id, text, line FROM (SELECT k, host, doc_id, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dups AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY k
-), normal AS (SELECT k, host, text, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines
-), hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host
+), normal AS (SELECT k, host, doc_id, text, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines
+), hosts AS (SELECT host, count(*) AS n FROM (SELECT DISTINCT host, doc_id FROM d) GROUP BY host
+), docs AS (SELECT host, line, doc_id, min(text) AS text FROM normal GROUP BY host, line, doc_id
 ), frequent AS (
-  SELECT normal.host, line FROM normal JOIN hosts ON hosts.host = normal.host GROUP BY normal.host, line, hosts.n
-  HAVING count(DISTINCT text) >= {quality.LEAST_DOCS} AND count(DISTINCT text) >= {quality.SHARE} * hosts.n
+  SELECT docs.host, line FROM docs JOIN hosts ON hosts.host = docs.host GROUP BY docs.host, line, hosts.n
+  HAVING count(DISTINCT text) >= {quality.LEAST_DOCS} AND count(*) >= {quality.LEAST_DOCS} AND (count(*) >= {quality.MOST_DOCS} OR count(*) >= {quality.SHARE} * hosts.n)
 ), removed AS (SELECT k, sum(n) AS n FROM normal JOIN frequent ON frequent.host = normal.host AND frequent.line = normal.line GROUP BY k
 ), m AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,

@@ -1,17 +1,16 @@
 """Quality rules: per-document base rules, and lines that too many documents of one host share; DataFrame operations only.
 
-Lines are normalised (lower case, white space collapsed, trimmed) and hashed. For each host the number of different documents that
-hold a line is counted; exact copies of a text count as one document, so a copied document does not make its own lines frequent.
-A line is above the limit when at least LEAST_DOCS documents and SHARE of the host's documents hold it; `most_docs` documents are always enough, so that
-the limit does not grow with the host. The query op5 leaves `most_docs` out, as its SQL has no such bound; the pipeline takes MOST_DOCS. Such lines are removed, and a document that
-keeps fewer than LEAST_WORDS words, or less than LEAST_PART of its words, is depleted and rejected.
+Lines are normalised (lower case, white space collapsed, trimmed) and hashed. For each host the number of its documents (different ids; rows that
+repeat an id count once) that hold a line is counted. A line is above the limit when SHARE of the host's documents hold it, LEAST_DOCS at least; MOST_DOCS documents are always
+enough, so that the limit does not grow with the host. At least LEAST_DOCS different texts must hold it: copies of a text count as documents, but alone do not condemn its
+lines. Lines above the limit are removed, and a document that keeps fewer than LEAST_WORDS words, or less than LEAST_PART of its words, is depleted and rejected.
 
 Repeated words are found inside the row: every 8-word window is hashed to 64 bits, and windows whose hash occurs twice or
 more cover their words. Frequent lines are rows of host and hash, as many as there are. Up to BROADCAST_LINES of them are broadcast, by host in
 buckets; beyond, the lines of each text are joined with them, salted, and each text keeps only the hashes of its own frequent lines.
 
-Nulls: a null text has no words (rejected by the base rule); a null source is a host of its own; null ids pass through.
-An empty table gives an empty result; equal rows get equal verdicts.
+Nulls: a null text has no words (rejected by the base rule); a null source is a host of its own; null ids pass through, and are one document of a host.
+An empty table gives an empty result; equal rows get equal verdicts; of rows that repeat an id each is judged by its own text. Extra columns are neither read nor returned, but for those named in `extra`.
 """
 
 from __future__ import annotations
@@ -23,10 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import GAP, WORD, keep, text_of
 
-LEAST_DOCS, SHARE, LEAST_WORDS, LEAST_PART = 20, 0.1, 20, 0.3
+LEAST_DOCS, SHARE, MOST_DOCS, LEAST_WORDS, LEAST_PART = 5, 0.1, 200, 20, 0.3
 WINDOW = 8
-#: Documents of a host that always make a line frequent, in the pipeline: SHARE of 500 texts.
-MOST_DOCS = 50
 #: Hashes of frequent lines, over all hosts, up to which they are broadcast; buckets of a host's hashes; parts that a key is dealt to beyond.
 BROADCAST_LINES, BUCKETS, SALTS = 500_000, 1024, 32
 
@@ -77,19 +74,25 @@ def measured(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def frequent_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, most_docs: int | None = None) -> DataFrame:
-    """host, h: the hashes of the lines that are above the host's limit; from the output of `measured`."""
-    texts = rows.groupBy("host", "mark").agg(F.count("*").alias("copies"))
-    hosts = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
-    held = own_lines(rows).groupBy("host", "h", "mark").agg(F.lit(1).alias("one"))
-    held = held.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs)
-    above = F.col("n") >= share * F.col("n_texts")
-    return held.join(hosts, "host").filter(above if most_docs is None else above | (F.col("n") >= most_docs)).select("host", "h")
+def frequent_lines(rows: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, most_docs: int = MOST_DOCS) -> DataFrame:
+    """host, h: the hashes of the lines that are above the host's limit; from the output of `measured`.
 
+    The share matters only in hosts of most_docs / share documents at most; their sizes are broadcast if few, or else joined with salt.
+    """
+    hosts = rows.groupBy("host", "doc_id").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n_docs"))
+    hosts = keep(hosts.filter(F.col("n_docs") * share < most_docs), "hosts")
+    held = own_lines(rows, "doc_id").groupBy("host", "h", "doc_id").agg(F.min("mark").alias("mark"))
+    held = held.groupBy("host", "h", "mark").agg(F.count("*").alias("docs"))
+    held = held.groupBy("host", "h").agg(F.sum("docs").alias("n"), F.count("*").alias("texts")).filter((F.col("n") >= least_docs) & (F.col("texts") >= least_docs))
+    held = held.withColumn("salt_", F.pmod("h", F.lit(SALTS)).cast("int"))
+    sizes = F.broadcast(hosts) if hosts.count() <= BROADCAST_LINES else hosts.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = held.join(sizes, [c for c in ("host", "salt_") if c in sizes.columns], "left")
+    return held.filter((F.col("n") >= most_docs) | (F.col("n") >= share * F.col("n_docs"))).select("host", "h")
 
-def own_lines(rows: DataFrame) -> DataFrame:
-    """host, mark, h: the different line hashes of each row."""
-    return rows.select("host", "mark", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+
+def own_lines(rows: DataFrame, *more: str) -> DataFrame:
+    """host, mark, h: the different line hashes of each row; and the columns `more`."""
+    return rows.select("host", "mark", *more, F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
 
 
 def _bucketed(rows: DataFrame, above: DataFrame) -> DataFrame:
@@ -110,7 +113,7 @@ def _salted(rows: DataFrame, above: DataFrame) -> DataFrame:
     return rows.withColumn("salt_", salt(F.xxhash64("doc_id"))).join(copied(hits), ["host", "mark", "salt_"], "left").drop("salt_")
 
 
-def judged(rows: DataFrame, least_words: int = LEAST_WORDS, least_part: float = LEAST_PART, most_docs: int | None = None) -> DataFrame:
+def judged(rows: DataFrame, least_words: int = LEAST_WORDS, least_part: float = LEAST_PART, most_docs: int = MOST_DOCS) -> DataFrame:
     """The rows of `measured` with frequent (of the row's own lines), removed_words and kept."""
     above = keep(frequent_lines(rows, most_docs=most_docs), "frequent-lines")
     df = _bucketed(rows, above) if above.count() <= BROADCAST_LINES else _salted(rows, above)
@@ -127,9 +130,9 @@ def quality(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """The columns of documents, of the kept documents only, frequent lines (MOST_DOCS documents are enough) removed from their texts."""
+    """The columns of documents, of the kept documents only, frequent lines removed from their texts."""
     names = ("text", "lang", "source", "n_chars")
-    df = judged(keep(measured(docs, names), "quality"), most_docs=MOST_DOCS).filter("kept")
+    df = judged(keep(measured(docs, names), "quality")).filter("kept")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("frequent"), _line_hash(x))), "\n")
     df = df.withColumn("text_", F.when(F.col("removed_words") > 0, left).otherwise(F.col("text")))
     return df.select("doc_id", F.col("text_").alias("text"), "lang", "source", F.when(F.col("removed_words") > 0, F.char_length("text_").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
