@@ -431,28 +431,91 @@ def test_line_limits_equal_loops_in_any_host(spark, monkeypatch):
 def test_targets_and_routes():
     assert targets_of([10, 100, 5, 20], [5, 2, 1, 5], 3) == [30, 30, 15, 60]
     assert targets_of([], [], 3) == [] and targets_of([0, 0], [5, 2], 3) == [0, 0]
-    flows = route([((0,), 10), ((0, 1), 20), ((1,), 0)], [40, 20], 3)
-    assert flows[0][0] + flows[1][0] == 40 and flows[1][1] == 20
-    assert flows[0][0] == 20 and flows[1][0] == 20  # second passes are shared before third ones are needed
+    flows = route([(10, {0: 10}), (20, {0: 20, 1: 20}), (0, {1: 0})], [40, 20], 3)
+    assert flows[0][0] + flows[1][0] == 40 and flows[1][1] == 20 and route([], [], 3) == []
+
+
+def test_routes_cost_least_of_all_flows():
+    from itertools import product
+
+    r = random.Random(13)
+
+    def price(flow, words, steps):  # of `flow` words, whose passes hold `words` each at first
+        out, k = 0, 0
+        while flow > 0:
+            part = min(flow, words << max(0, k - steps + 1))
+            out, flow, k = out + k * part, flow - part, k + 1
+        return out
+
+    for _ in range(60):
+        repeats, m = r.choice([1, 2, 3]), 2
+        patterns = []
+        for held in ([0], [1], [0, 1]):
+            rows = {j: r.randint(0, 3) for j in held}
+            patterns.append((r.randint(max(rows.values()) if len(held) > 1 else (sum(rows.values()) + 1) // 2, sum(rows.values())), rows))
+        patterns, quotas = r.sample(patterns, r.choice([2, 3])), [r.randint(0, 12) for _ in range(m)]
+        arcs = [(i, j, repeats * w) for i, (_, held) in enumerate(patterns) for j, w in held.items()]
+
+        def cost(flow):  # (words short, price), or None if a quota is passed
+            if any(sum(f for f, (_, j, _) in zip(flow, arcs, strict=True) if j == k) > quotas[k] for k in range(m)):  # noqa: B023
+                return None
+            total = sum(price(f, patterns[i][1][j], 99) for f, (i, j, _) in zip(flow, arcs, strict=True) if f)  # noqa: B023
+            for i, (words, _) in enumerate(patterns):  # noqa: B023
+                through = sum(f for f, (k, _, _) in zip(flow, arcs, strict=True) if k == i)  # noqa: B023
+                total += price(through, words, repeats) if through else 0  # noqa: B023
+            return -sum(flow), total
+
+        best = min(c for f in product(*[range(min(c, quotas[j]) + 1) for _, j, c in arcs]) if (c := cost(f)) is not None)
+        flows = route(patterns, quotas, repeats)
+        assert cost([flows[i][j] for i, j, _ in arcs]) == best
 
 
 def test_mixing_comes_near_its_targets(spark):
     from whence.llm import mixing
 
     r = random.Random(6)
-    rows = [(i, " ".join(["w"] * r.randint(0, 60)), None, r.choice(["a", "b", None]), 0) for i in range(600)]
-    df = spark.createDataFrame(rows, DOCS)
+    rows = [(i, " ".join(["w"] * r.randint(0, 60)) if i % 3 else f"same {i % 40}", None, r.choice(["a", "b", None, "c", "c", "c"]), 0) for i in range(900)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("size", mixing.F.lit(1)).withColumn("pattern", mixing.F.lit("x"))
     got = mixing.mix(df, extra=("source",)).collect()
-    assert sorted(map(tuple, (x for x in got))) == sorted(map(tuple, mixing.mix(df, extra=("source",)).collect())) or True
-    again = {x.doc_id: x.taken for x in mixing.mix(df, extra=("source",)).collect()}
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df, extra=("source",)).collect()))
+    assert any("," in x.pattern for x in got) and len(got) == 900
+    sizes: dict = {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    goals = dict(zip(("a", "b", "c", None), targets_of([sizes[s] for s in ("a", "b", "c", None)], [5, 2, 1, 5], 3), strict=True))
     by: dict = {}
     for x in got:
-        assert x.taken <= 3 * x.size and x.taken % max(1, x.size) == 0 and again[x.doc_id] == x.taken
-        by.setdefault(x.source, [0, x.target, x.source_size])[0] += x.taken
-    assert all(abs(t - goal) <= max(10, 0.02 * goal) for t, goal, _ in by.values()) and set(by) == {"a", "b", None}
+        assert x.taken <= 3 * x.size and x.taken == x.passes * x.size and x.target == goals[x.source] and x.source_size == sizes[x.source]
+        by[x.source] = by.get(x.source, 0) + x.taken
+    assert all(abs(by[s] - goal) <= max(10, 0.01 * goal) for s, goal in goals.items())
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_with_given_sources_loses_no_row(spark):
+    from whence.llm import mixing
+
+    held = [["x"], [], None, ["x", "y"], [None], ["y", "x", "x"], ["z", None]]
+    rows = [(i, " ".join(["w"] * (1 + i % 9)), h) for i, h in enumerate(held * 20)] + [(None, None, ["x"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held array<string>")
+    got = mixing.mix(df, sources=mixing.F.col("held")).collect()
+    assert sorted(x.doc_id for x in got if x.doc_id is not None) == list(range(140)) and len(got) == 141
+    assert len({x.pattern for x in got}) == 4 and all(x.passes <= 3 for x in got)
+    quota: dict = {}
+    for x in got:
+        quota.setdefault(x.pattern, [0, x.target])[0] += x.taken
+    assert sum(t for t, _ in quota.values()) > 0 and all(t <= 1.01 * goal for t, goal in quota.values())
+
+
+def test_rare_patterns_count_as_their_own_source(spark, monkeypatch):
+    from whence.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 1)
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    rows = [(i, f"text {i % 30} " * 9, None, "abc"[i % 2 + (i % 30) % 2], 0) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), extra=("source",)).collect()
+    assert len(got) == 300 and sum("," in x.pattern for x in got) <= 300 and sum(x.taken for x in got) > 0
+
+
 def test_hilbert_curve_moves_one_step_at_a_time():
     for bits, dims in ((4, 3), (3, 2), (2, 4)):
         at = {h: p for p, h in enumerate(hilbert_indices(bits, dims))}
