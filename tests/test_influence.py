@@ -60,6 +60,21 @@ def test_windows_give_the_same_scores(spark, agg):
         assert total(lambda i: got[k, i]) == pytest.approx(total(want.of), abs=1e-6)  # noqa: B023
 
 
+@pytest.mark.parametrize("agg", ["median", "percentile:0.95", "percentile:0.0", "percentile:1.0", "max", "avg"])
+def test_large_groups_are_scored_around_the_cut(spark, agg, monkeypatch):
+    from whence.functions import influence as module
+
+    monkeypatch.setattr(module, "RANKED", 50)
+    r = random.Random(3)
+    rows = [(k, i, float(r.choice([r.randint(0, 40), r.gauss(0, 1000)]))) for k, n in ((0, 30_000), (1, 49), (2, 2), (3, 1)) for i in range(n)] + [(1, 50, None)]
+    got = {(x["out"], x["in"]): x["influence"] for x in influences(spark.createDataFrame(rows, "out long, `in` long, value double"), agg).collect()}
+    for k in range(4):
+        members = [(i, v) for g, i, v in rows if g == k]
+        want = influence(members, agg)
+        assert all(abs(got[k, i] - want.of(i)) < 1e-6 for i, v in members if agg != "max") or agg == "max"
+        assert sorted(round(got[k, i], 6) for i, _ in members) == pytest.approx(sorted(round(want.of(i), 6) for i, _ in members), abs=1e-5)
+
+
 def test_percentile_of_one_or_equal_values():
     assert percentile_influence([("a", 1.0)], 0.5) == {"a": 0.0}
     assert set(percentile_influence([("a", 1.0), ("b", 1.0)], 0.5).values()) == {0.0}

@@ -1,12 +1,15 @@
 """Capture and trace over small tables with known witnesses."""
 
 import pytest
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from whence.functions.udf import udf
 from whence.operators.programs import PROGRAMS
 from whence.operators.session import Lineage
 from whence.plans.catalyst import UnsupportedOperatorError
+from whence.sources import scan
 
 SALES = [("electronics", v) for v in (420, 310, 99999, 380)] + [("furniture", v) for v in (250, 190, 205, 220)] + [("groceries", v) for v in (80, 95, 110, 70)] + [("toys", v) for v in (60, 75, 55, 90)]
 ORDERS = [("o1", "c1", 420), ("o2", "c2", 310), ("o3", "c3", 250), ("o4", "c1", 190), ("o5", "c2", 205), ("o6", "c3", 220), ("o7", "c1", 80), ("o8", "c2", 99999), ("o9", "c3", 110), ("o10", "c1", 210), ("o11", "c2", 130), ("o12", "c3", 50)]
@@ -152,8 +155,13 @@ def test_focus_stores_less(spark, tables):
     assert t.trace(df, [i for r, i in t.collect_with_lineage(df) if r.category == "furniture"]).go_back().ids == []
     whole, dfw, _ = walk(spark, sql, lambda r: True)
     assert 0 < sum(t.lineage_size(df)) < sum(whole.lineage_size(dfw))
-    _, _, c = walk(spark, sql, lambda r: r.category == "toys", 0, enable_focus=("total < 300",))
+    with pytest.warns(UserWarning, match="total < 300"):
+        _, _, c = walk(spark, sql, lambda r: r.category == "toys", 0, enable_focus=("total < 300",))
     assert len(c.ids) == 4
+    wrong = Lineage(spark)
+    wrong.enable_focus("category = ")
+    with pytest.raises(AnalysisException):
+        wrong.collect_with_lineage(spark.sql(sql))
 
 
 def test_only_files_that_hold_witnesses_are_read(spark, tables):
@@ -167,6 +175,91 @@ def test_only_files_that_hold_witnesses_are_read(spark, tables):
     assert len(codes) == 1 and "file_path" in w._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("listed", [True, False])
+def test_files_are_pruned_however_many_there_are(spark, tables, listed, monkeypatch):
+    monkeypatch.setattr(scan, "MOST_FILES", 3)  # no codes of files: they are found by a scan of no columns
+    spark.range(4000).selectExpr("id", "if(id >= 3950, 7, id % 7) k", "id * 2 v").repartitionByRange(16, "id").write.mode("overwrite").parquet(f"{tables}/prune")
+    df = spark.read.parquet(f"{tables}/prune").groupBy("k").agg(F.sum("v").alias("s"))
+    t = Lineage(spark)
+    c = t.trace(df, [i for r, i in t.collect_with_lineage(df) if r.k == 7]) if listed else t.trace_where(df, "k = 7")
+    w = c.go_back().witnesses()
+    assert w.count() == 50 and c.go_back().level.source.files is None and "file_path" in w._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(scan, "MOST_NAMED", 0)  # too many to name: the whole source is read
+    assert c.go_back().witnesses().count() == 50
+
+
+@pytest.mark.parametrize("kind", ["orc", "json", "csv", "text"])
+def test_rows_of_other_file_formats(spark, tables, tmp_path, kind):
+    rows = spark.createDataFrame(SALES, "category string, amount int").repartition(3)
+    if kind == "text":
+        rows.select(F.concat_ws(",", "category", "amount").alias("value")).write.text(f"{tmp_path}/t")
+        df = spark.read.text(f"{tmp_path}/t").selectExpr("split(value, ',')[0] as category", "int(split(value, ',')[1]) as amount").filter("amount > 60")
+    else:
+        getattr(rows.write, kind)(f"{tmp_path}/t")
+        reader = spark.read if kind == "orc" else spark.read.schema("category string, amount int")
+        df = getattr(reader, kind)(f"{tmp_path}/t").filter("amount > 60")
+    df = df.groupBy("category").agg(F.sum("amount").alias("s"))
+    t = Lineage(spark)
+    c = t.trace(df, [i for r, i in t.collect_with_lineage(df) if r.category == "toys"]).go_back()
+    want = ["toys,75", "toys,90"] if kind == "text" else [75, 90]
+    assert sorted(w["value" if kind == "text" else "amount"] for w in c.show()) == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        with pytest.raises(scan.ChangedSplitsError):  # other splits would number the rows anew
+            c.show()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(c.show()) == 2
+
+
+def test_settings_come_from_the_session(spark, tables):
+    values = {"capture": "false", "influence": "true", "focus": "category = 'toys'", "storageLevel": "DISK_ONLY", "prune": "false"}
+    for k, v in values.items():
+        spark.conf.set(f"spark.whence.{k}", v)
+    try:
+        t = Lineage(spark)
+        assert not t.capturing and t.influence_on and t.focus == "category = 'toys'" and t.storage == StorageLevel.DISK_ONLY and not t.prune
+        assert Lineage(spark, storage=StorageLevel.MEMORY_ONLY, prune=True).prune
+    finally:
+        for k in values:
+            spark.conf.unset(f"spark.whence.{k}")
+    assert Lineage(spark).capturing and not Lineage(spark).influence_on
+
+
+def test_session_calls_over_whole_walks(spark, tables):
+    df = spark.sql("select category, sum(amount) total from sales group by category")
+    with Lineage(spark) as t:
+        ids = [i for r, i in t.collect_with_lineage(df) if r.category == "toys"]
+        assert t.result_ids(df) and set(ids) <= set(t.result_ids(df))
+        found = t.backward(df, ids)
+        assert len(found) == 4 and sorted(r.amount for r in t.show_inputs(df, found)) == [55, 60, 75, 90]
+        joined = spark.sql("select oid, o.amount, name from orders o join customers c on o.cid = c.cid")
+        got = t.trace_all_sources(joined, [i for r, i in t.collect_with_lineage(joined) if r.oid == "o8"])
+        assert {s.path.rpartition("/")[2]: [r.asDict() for r in s.rows] for s in got} == {"orders": [{"oid": "o8", "cid": "c2", "amount": 99999}], "customers": [{"cid": "c2", "name": "Bob"}]}
+        assert set(got[0].schema.fieldNames()) == {"oid", "cid", "amount"}
+        with pytest.raises(ValueError):
+            t.show_inputs(joined, [1])
+        g = t.graph(df)
+    assert g.released and not t._graphs
+
+
+@pytest.mark.parametrize("rank", ["row_number", "rank", "dense_rank"])
+def test_top_of_each_group_comes_from_its_peers(spark, tables, rank):
+    sql = f"select category, amount from (select *, {rank}() over (partition by category order by amount desc) as r from sales) where r <= 2"
+    _, _, c = walk(spark, sql, lambda r: r.category == "toys" and r.amount == 90, 0)
+    assert sorted(w["amount"] for w in c.show()) == [55, 60, 75, 90]
+
+
+def test_influence_falls_back_on_a_named_aggregate(spark, tables):
+    sql = "select category, collect_list(amount) c, stddev(amount) s from sales group by category"
+    _, _, c = walk(spark, sql, lambda r: r.category == "toys", 0, enable_influence=("max",))
+    got = c.influence("s")
+    assert got.method == "max" and sorted(v for _, v in got.ranked() if v) == [15]
+    _, _, c = walk(spark, sql, lambda r: r.category == "toys", 0, enable_influence=())
+    with pytest.raises(ValueError):
+        c.influence("s")
+
+
 def test_written_witnesses_agree(spark, tables, tmp_path):
     _, _, c = walk(spark, "select cid, sum(amount) s from orders where amount > 100 group by cid", lambda r: r.cid == "c2")
     counts = [c.write_witnesses(f"{tmp_path}/a"), c.write_witnesses_distributed(f"{tmp_path}/b", 2), c.write_witnesses_auto(f"{tmp_path}/c", 1)]
@@ -189,7 +282,9 @@ def test_fields_read_by_udfs(spark, tables, mode, monkeypatch):
         out = t.collect_with_lineage(df)
         assert {r.category: r.s for r, _ in out}["groceries"] == 355 + 28
         rows = t.trace(df, [i for r, i in out if r.category == "groceries"]).go_back().show()
+        table = t.trace_where(df, "category = 'groceries'").go_back().annotations().collect()
         t.disable_udf_aware()
+        assert sorted(map(repr, (r.asDict(True) for r in table))) == sorted(map(repr, rows))
         assert sorted(w["amount"] for w in rows) == [70, 80, 95, 110]
         assert all(w["_data"] == ["amount"] and w["_control"] == [] and w["_regime"] == "exact" for w in rows)
 
@@ -199,7 +294,7 @@ def test_planted_faults_are_found(spark, name, faults):
     p = PROGRAMS[name]
     t = Lineage(spark, strict=False)
     t.enable_influence()
-    df = p.query(p.rows(spark, 5000))
+    df = p.query(p.rows(spark.range(5000)))
     c = t.trace_where(df, p.suspicious)
     scores = c.influence(p.column).ranked()
     assert len(scores) in (300, 297, 299) or name == "nested"
@@ -229,6 +324,24 @@ def test_measurements_find_the_planted_group(spark, tmp_path):
     from whence.operators.measure import one
 
     p = PROGRAMS["airport"]
-    p.rows(spark, 2000).write.parquet(f"{tmp_path}/a")
-    got = one(spark, "airport", p, spark.read.parquet(f"{tmp_path}/a"), 2000, "lazy-cell", True, "dep_hr = 23")
+    p.rows(spark.range(2000)).write.parquet(f"{tmp_path}/a")
+    got = one(spark, "airport", p, spark.read.parquet(f"{tmp_path}/a"), 2000, "lazy-cell", True, p.group)
     assert got["lin_precision"] == got["lin_recall"] == got["fault_prec1"] == got["fault_recall"] == 1.0
+
+
+def test_tokens_of_the_worst_review(spark, tmp_path):
+    from whence.operators.programs import token_trace
+
+    p = PROGRAMS["sentiment"]
+    p.rows(spark.range(3000)).write.parquet(f"{tmp_path}/reviews")
+    t = Lineage(spark)
+    t.enable_influence()
+    df = p.query(spark.read.parquet(f"{tmp_path}/reviews"))
+    c = t.trace_where(df, p.suspicious).go_back()
+    worst = set(c.influence(p.column).top(20))
+    reviews = [r.asDict(True) for r in c.witnesses(full=True, keep_id="__id").collect()]
+    assert len(reviews) == 300 and {r["__id"] for r in reviews if r["__fault"]} == worst
+    for r in reviews[:40]:
+        found = token_trace(r)
+        assert all(flows == (word != "the") for word, _, flows in found)
+        assert (min(s for _, s, _ in found) == -100.0) == r["__fault"]

@@ -1,7 +1,7 @@
 """Influence: how much an aggregate would change if one of its records were removed (full value minus value without it).
 
 Closed forms over one pass exist for sum, count, avg, max and min; percentiles need a sort of the group, and any
-other function can be registered or left to leave-one-out evaluation. `influences` computes the same on a table with windows.
+other function can be registered or left to leave-one-out evaluation. `influences` computes the same on a table by aggregation and joins; no group is sorted in one task.
 """
 
 from __future__ import annotations
@@ -149,41 +149,68 @@ def influence(elements: Iterable, agg: str | Callable) -> Influence:
     raise ValueError(f"no closed form for {agg}; register one or pass a function")
 
 
+def has_closed_form(agg: str) -> bool:
+    """Whether `influences` scores this aggregate."""
+    name, _, p = agg.lower().partition(":")
+    name = ALSO.get(name, name)
+    return bool(p) if name == "percentile" else name in ("sum", "count", "avg", "max", "min", "median")
+
+
+#: Records of a group up to which all are ranked for a percentile; beyond, only those between two approximate percentiles, this far to either side of the cut; and their accuracy.
+RANKED, ASIDE, ACCURACY = 20_000, 0.001, 10_000
+
+
+def _around_the_cut(members: DataFrame, group: str, p: float) -> DataFrame:
+    """group, __n, and the values at the few places around the cut: __full (the percentile), __a and __b (the values there), __a1 and __b1 (those one place on)."""
+    known = members.filter("__v is not null")
+    low, high = max(0.0, p - ASIDE), min(1.0, p + ASIDE)
+    ends = F.percentile_approx("__v", [low, high], ACCURACY)
+    stats = known.groupBy(group).agg(F.count("*").alias("__n"), ends.alias("__ends"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+    whole = F.col("__n") <= RANKED
+    stats = stats.select(group, "__n", F.when(whole | F.lit(low == 0.0), F.col("__least")).otherwise(F.col("__ends")[0]).alias("__from"), F.when(whole | F.lit(high == 1.0), F.col("__most")).otherwise(F.col("__ends")[1]).alias("__to"))
+    # Equal values are one row with a count, so that ties need no order and a frequent value no room.
+    placed = known.groupBy(group, "__v").agg(F.count("*").alias("__m")).join(stats, group)
+    before = placed.groupBy(group).agg(F.coalesce(F.sum(F.when(F.col("__v") < F.col("__from"), F.col("__m"))), F.lit(0)).alias("__before"))
+    near = placed.filter((F.col("__v") >= F.col("__from")) & (F.col("__v") <= F.col("__to"))).join(before, group)
+    over = Window.partitionBy(group).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("__end", F.col("__before") + F.sum("__m").over(over)).withColumn("__start", F.col("__end") - F.col("__m"))
+    n = F.col("__n")
+    at, cut = F.lit(p) * (n - 1), F.lit(p) * (n - 2)
+    places = {"lo": F.floor(at), "hi": F.ceil(at), "a": F.floor(cut), "b": F.ceil(cut), "a1": F.floor(cut) + 1, "b1": F.ceil(cut) + 1}
+    value = lambda k: F.max(F.when((F.col("__start") <= k) & (k < F.col("__end")), F.col("__v")))
+    got = near.groupBy(group, "__n").agg(*[value(F.least(k, n - 1)).alias(f"__{x}") for x, k in places.items()])
+    full = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (at - F.floor(at))
+    return got.select(group, "__n", full.alias("__full"), "__a", "__b", "__a1", "__b1")
+
+
 def influences(members: DataFrame, agg: str, group: str = "out", ident: str = "in", value: str = "value") -> DataFrame:
-    """The table with a column `influence`: the same scores by windows over groups, nothing collected.
+    """The table with a column `influence`: the same scores, nothing collected.
 
-    Groups are as large as the traced outputs' groups; sums, counts and averages need no order inside a group, the others sort it.
+    What a score needs of its group (sums, the two greatest values, the values around a percentile's cut) is aggregated first, map-side, and joined back; a group of any size, a global
+    aggregate's too, is spread over all tasks.
     """
     name, p = canonical(agg)
     v = F.col(value).cast("double")
-    w = Window.partitionBy(group)
     if name == "sum":
-        score: Column = F.coalesce(v, F.lit(0.0))
-    elif name == "count":
-        score = F.when(v.isNull(), 0.0).otherwise(1.0)
-    elif name == "avg":
-        n = F.count(v).over(w)
-        score = F.when(v.isNull() | (n <= 1), 0.0).otherwise((v - F.avg(v).over(w)) / (n - 1))
+        return members.withColumn("influence", F.coalesce(v, F.lit(0.0)))
+    if name == "count":
+        return members.withColumn("influence", F.when(v.isNull(), 0.0).otherwise(1.0))
+    rows = members.withColumn("__v", v)
+    if name == "avg":
+        stats = rows.groupBy(group).agg(F.count("__v").alias("__n"), F.avg("__v").alias("__mean"))
+        score: Column = F.when(F.col("__v").isNull() | (F.col("__n") <= 1), 0.0).otherwise((F.col("__v") - F.col("__mean")) / (F.col("__n") - 1))
     elif name in ("max", "min"):
-        order = w.orderBy(v.desc_nulls_last() if name == "max" else v.asc_nulls_last(), F.col(ident))
-        follow = F.lead(v).over(order)
-        score = F.when((F.row_number().over(order) == 1) & follow.isNotNull() & v.isNotNull(), v - follow).otherwise(0.0)
+        best = F.max if name == "max" else F.min
+        top = rows.groupBy(group).agg(best("__v").alias("__top"))
+        stats = rows.filter("__v is not null").groupBy(group, "__v").agg(F.count("*").alias("__m")).join(top, group)
+        is_top = F.col("__v") == F.col("__top")
+        stats = stats.groupBy(group, "__top").agg(F.max(F.when(is_top, F.col("__m"))).alias("__times"), best(F.when(~is_top, F.col("__v"))).alias("__next"))
+        score = F.when((F.col("__v") == F.col("__top")) & (F.col("__times") == 1) & F.col("__next").isNotNull(), F.col("__v") - F.col("__next")).otherwise(0.0)
     elif name in ("percentile", "median"):
-        # Only the few values around the cut matter: their places are known from the count of the group.
-        order = w.orderBy(v.asc_nulls_last(), F.col(ident))
-        df = members.withColumn("__v", v).withColumn("__n", F.count(v).over(w)).withColumn("__r", F.row_number().over(order) - 1)
-        at, cut = F.lit(p) * (F.col("__n") - 1), F.lit(p) * (F.col("__n") - 2)
-        for c, e in (("__lo", F.floor(at)), ("__hi", F.ceil(at)), ("__a", F.floor(cut)), ("__b", F.ceil(cut))):
-            df = df.withColumn(c, e)
-        near = (F.col("__r") >= F.least("__lo", "__a")) & (F.col("__r") <= F.greatest(F.col("__hi"), F.col("__b") + 1))
-        few = df.filter(near & (F.col("__n") > 1)).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("__m"))
-        df = df.join(few, group, "left")
-        at_ = lambda c: F.element_at("__m", c.cast("int"))
-        full = at_(F.col("__lo")) + (at_(F.col("__hi")) - at_(F.col("__lo"))) * (at - F.col("__lo"))
-        skip = lambda c: at_(F.when(F.col(c) >= F.col("__r"), F.col(c) + 1).otherwise(F.col(c)))
-        rest = skip("__a") + (skip("__b") - skip("__a")) * (cut - F.col("__a"))
-        score = F.when(F.col("__v").isNull() | (F.col("__n") <= 1), 0.0).otherwise(full - rest)
-        return df.select(*members.columns, score.alias("influence"))
+        stats = _around_the_cut(rows, group, p)
+        cut = F.lit(p) * (F.col("__n") - 2)
+        a, b = (F.when(F.col("__v") <= F.col(f"__{x}"), F.col(f"__{x}1")).otherwise(F.col(f"__{x}")) for x in "ab")  # what stands there without the record
+        score = F.when(F.col("__v").isNull() | (F.col("__n") <= 1), 0.0).otherwise(F.col("__full") - (a + (b - a) * (cut - F.floor(cut))))
     else:
         raise ValueError(f"no closed form for {agg}")
-    return members.withColumn("influence", score)
+    return rows.join(stats, group, "left").select(*members.columns, F.coalesce(score, F.lit(0.0)).alias("influence"))

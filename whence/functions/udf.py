@@ -16,6 +16,8 @@ from .taint import REGIMES, control_prov, data_prov, raw, regime, tag, taglist,
 #: A code holds two bits of regime and two masks of parameters in a signed 64-bit integer.
 MOST_PARAMETERS = 30
 Reads = tuple[Sequence[str], Sequence[str], str]
+#: The columns that say what UDFs read.
+READS = ("_data", "_control", "_regime")
 
 
 def encode(params: Sequence[str], data: set, control: set, level: str) -> int:
@@ -58,6 +60,13 @@ def annotate(row: dict, reads: list[Reads]) -> None:
         row["_regime"] = max((r[2] for r in reads), key=REGIMES.index)
 
 
+def reads_of_code(code: Column, params: Sequence[str]) -> tuple[Column, Column, Column]:
+    """The fields of a code read as data, those read as control, and the index of the regime, as expressions."""
+    n = len(params)
+    names = lambda first: F.array_compact(F.array(*[F.when(F.shiftright(code, first + i).bitwiseAND(F.lit(1)) == 1, F.lit(p)) for i, p in enumerate(params)]))
+    return names(2), names(2 + n), code.bitwiseAND(F.lit(3)).cast("int")
+
+
 def _recorder(fn: Callable, params: Sequence[str]) -> Callable:
     made: list[Callable] = []
 

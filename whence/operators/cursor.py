@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.influence import Influence, influences
+from ..functions.influence import Influence, has_closed_form, influences
 from ..plans.graph import CaptureGraph, Level
 
 #: Ids up to which a frontier is held by the driver; a larger one stays a table, and its joins are shuffles.
@@ -27,7 +27,8 @@ class SourceWitnesses(NamedTuple):
 class Cursor:
     """A set of ids at one level of a captured query.
 
-    The frontier is a list on the driver as long as it is small (`limit` ids, checked before it is fetched) and a table beyond.
+    The frontier of a walk that starts from a list is a list on the driver as long as it is small (`limit` ids, checked before it is fetched) and a table beyond; a walk that starts from a
+    table goes on with tables, and nothing is fetched.
     """
 
     def __init__(self, graph: CaptureGraph, level: Level | None, ids: Iterable[int] | DataFrame, path: tuple = (), limit: int = DRIVER_IDS, session: Any = None):
@@ -39,10 +40,16 @@ class Cursor:
         return self.graph.result.sparkSession
 
     def _moved(self, level: Level, found: DataFrame, path: tuple) -> Cursor:
-        got = found.limit(self.limit + 1).collect() if self.limit else []
-        ids = found if not self.limit or len(got) > self.limit else [r["id"] for r in got]
+        if not self.limit or self._ids is None:
+            return Cursor(self.graph, level, found, path, self.limit, self.session)
+        got = found.limit(self.limit + 1).collect()
+        ids = found if len(got) > self.limit else [r["id"] for r in got]
         return Cursor(self.graph, level, ids, path, self.limit, self.session)
 
+    def known_size(self) -> float:
+        """The number of ids where the driver has them, infinity where it would have to ask."""
+        return float("inf") if self._ids is None else len(self._ids)
+
     @property
     def frontier(self) -> DataFrame:
         """The ids as a table with one column, id."""
@@ -110,6 +117,12 @@ class Cursor:
             return self.session.annotated(self, full)
         return [r.asDict(True) for r in self.witnesses(full).collect()]
 
+    def annotations(self, full: bool = False) -> DataFrame:
+        """The source rows as a table; with traced UDFs also what they read (`_data`, `_control`, `_regime`)."""
+        if self.session is not None and self.session.measures:
+            return self.session.annotations(self, full)
+        return self.witnesses(full)
+
     def show_all_sources(self, full: bool = False) -> list[SourceWitnesses]:
         out = []
         for c in self.sources():
@@ -156,13 +169,19 @@ class Cursor:
             at = at.go_back(branch)
         name = agg or self._named(slot)
         rows = level.table.select(F.col(level.out).alias("out"), F.col(level.ins[0]).alias("in"), F.col(slot.column).alias("value"))
-        return influences(rows.join(at.frontier.withColumnRenamed("id", "out"), "out", "left_semi"), name)
+        rows = rows.join(at.frontier.withColumnRenamed("id", "out"), "out", "left_semi")
+        fallback = self.session.fallback if self.session is not None else None
+        if agg is None and fallback is not None and not has_closed_form(name):
+            name = fallback
+        return influences(rows, name)
 
     def influence(self, column: str | None = None, agg: str | None = None) -> Influence:
         """Scores of the records one level below the aggregate that made `column` (the outermost one if not named)."""
         table = self.influence_table(column, agg)
         level, slot = self._slot(column)
-        return Influence({r["in"]: r["influence"] for r in table.select("in", "influence").collect()}, agg or self._named(slot))
+        fallback = self.session.fallback if self.session is not None else None
+        name = agg or (fallback if fallback is not None and not has_closed_form(self._named(slot)) else self._named(slot))
+        return Influence({r["in"]: r["influence"] for r in table.select("in", "influence").collect()}, name)
 
     @staticmethod
     def _steps(top: Level, target: Level) -> Sequence[tuple[Level, int]]:

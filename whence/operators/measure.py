@@ -1,6 +1,6 @@
 """Measures capture on the example programs: overhead, stored lineage, trace time and accuracy. Prints one JSON line a measurement.
 
-    python -m whence.operators.measure [rows] [program ...]
+    python -m whence.operators.measure FOLDER [rows] [program ...]
 """
 
 from __future__ import annotations
@@ -61,23 +61,21 @@ def one(spark: SparkSession, name: str, p: Program, source: DataFrame, rows: int
 
 
 def measurements(spark: SparkSession, rows: int, names: list[str], where: str) -> Iterator[dict]:
-    keys = {"airport": "dep_hr = 23", "airport_multi": "dep_hr = 23", "weather": "month = 12", "weather_np": "month = 12", "sentiment": "item = 1000", "student": "grade = 12", "accidents": "severity = 2", "nested": "store = 99", "holistic": "store = 99"}
     for name in names:
         p = PROGRAMS[name]
         path = f"{where}/{name}"
-        p.rows(spark, rows).write.mode("overwrite").parquet(path)
+        p.rows(spark.range(rows)).write.mode("overwrite").parquet(path)
         source = spark.read.parquet(path)
         for mode in MODES:
             for scored in (False, True):
                 yield one(spark, name, p, source, rows, mode, scored)
-        yield one(spark, name, p, source, rows, "lazy-cell", True, keys[name])
+        yield one(spark, name, p, source, rows, "lazy-cell", True, p.group)
 
 
 if __name__ == "__main__":
-    import tempfile
-
     session = SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    many = int(sys.argv[1]) if len(sys.argv) > 1 else 200_000
-    for line in measurements(session, many, sys.argv[2:] or list(PROGRAMS), tempfile.mkdtemp()):
+    folder = sys.argv[1]  # where inputs go: any path that driver and executors share
+    many = int(sys.argv[2]) if len(sys.argv) > 2 else 200_000
+    for line in measurements(session, many, sys.argv[3:] or list(PROGRAMS), folder):
         print(json.dumps(line), flush=True)

@@ -1,7 +1,7 @@
 """Example programs: jobs with planted faults, and star joins with a UDF measure, each with its suspicious output.
 
-Tables of the first kind come from `spark.range` and seeded arithmetic, so any size can be made; the group with the fault has FAULTY rows
-and negative ids.
+The normal rows of the first kind are made by seeded arithmetic from any table with a column `id`, so a job grows with its input. The group with the fault has FAULTY rows and negative ids, and
+holds nothing random, so that `sql` can state the values of its records.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.udf import TracedUDF, udf
+from ..functions.udf import TracedUDF, element_reads, udf
 from ..sources.tables import table
 
 FAULTY = 300
@@ -23,87 +23,117 @@ def _noise(seed: int, n: int) -> Column:
     return F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(n))
 
 
-def _planted(normal: DataFrame, faulty: DataFrame) -> DataFrame:
-    return normal.unionByName(faulty)
+def _planted(base: DataFrame, normal: dict[str, Column], faulty: dict[str, Column], fault: Column) -> DataFrame:
+    """The base's rows with normal values, and the faulty group; `rid` and `__fault` say which row is which."""
+    bad = base.sparkSession.range(FAULTY).select((-F.col("id") - 1).alias("rid"), *[c.alias(n) for n, c in faulty.items()], fault.alias("__fault"))
+    return base.select(F.col("id").alias("rid"), *[c.alias(n) for n, c in normal.items()], F.lit(False).alias("__fault")).unionByName(bad)
 
 
-def _faulty(spark: SparkSession, **columns: Column) -> DataFrame:
-    return spark.range(FAULTY).select((-F.col("id") - 1).alias("rid"), *[c.alias(n) for n, c in columns.items()])
+def flight_rows(base: DataFrame) -> DataFrame:
+    """Flights by hour of takeoff. The fault: clocks that wrapped at midnight, so a landing lies before its takeoff."""
+    off, wrapped = _noise(1, 1380), F.col("id") < 20
+    normal = {"takeoff": off.cast("int"), "landing": (off + 30 + _noise(2, 60)).cast("int"), "hour": F.floor(off / 60).cast("int")}
+    faulty = {"takeoff": (F.lit(1380) + F.col("id") % 55).cast("int"), "landing": F.when(wrapped, 15).otherwise(1440).cast("int"), "hour": F.lit(23)}
+    return _planted(base, normal, faulty, wrapped)
 
 
-def airport_rows(spark: SparkSession, rows: int) -> DataFrame:
-    dep = _noise(1, 1380)
-    normal = spark.range(rows).select(F.col("id").alias("rid"), dep.cast("int").alias("dep_min"), (dep + 30 + _noise(2, 60)).cast("int").alias("arr_min"), F.floor(dep / 60).cast("int").alias("dep_hr"), F.lit(False).alias("__fault"))
-    late = F.col("id") < 20
-    return _planted(normal, _faulty(spark, dep_min=(F.lit(1380) + F.col("id") % 60).cast("int"), arr_min=F.when(late, 10).otherwise(1440).cast("int"), dep_hr=F.lit(23), __fault=late))
+def rain_rows(base: DataFrame) -> DataFrame:
+    """Rain by month. The fault: one reading whose millimetres are marked as inches."""
+    wrong = F.col("id") == 0
+    normal = {"reading": _noise(1, 80).cast("double"), "scale": F.lit("mm"), "month": (F.lit(1) + _noise(2, 11)).cast("int")}
+    faulty = {"reading": F.when(wrong, 90.0).otherwise(F.col("id").cast("double") % 80), "scale": F.when(wrong, "in").otherwise("mm"), "month": F.lit(12)}
+    return _planted(base, normal, faulty, wrong)
 
 
-def weather_rows(spark: SparkSession, rows: int) -> DataFrame:
-    normal = spark.range(rows).select(F.col("id").alias("rid"), _noise(1, 80).cast("double").alias("value"), F.lit("mm").alias("unit"), (F.lit(1) + _noise(2, 11)).cast("int").alias("month"), F.lit(False).alias("__fault"))
-    bad = F.col("id") == 0
-    return _planted(normal, _faulty(spark, value=F.when(bad, 90.0).otherwise(F.col("id").cast("double") % 80), unit=F.when(bad, "in").otherwise("mm"), month=F.lit(12), __fault=bad))
+def exam_rows(base: DataFrame) -> DataFrame:
+    """Points by year. The fault: points with a zero too many."""
+    wrong = F.col("id") < 20
+    normal = {"points": _noise(1, 400).cast("double"), "year": (F.lit(1) + _noise(2, 11)).cast("int")}
+    return _planted(base, normal, {"points": F.when(wrong, 4000.0).otherwise(F.col("id").cast("double")), "year": F.lit(12)}, wrong)
 
 
-def student_rows(spark: SparkSession, rows: int) -> DataFrame:
-    normal = spark.range(rows).select(F.col("id").alias("rid"), _noise(1, 100).cast("double").alias("pct"), (F.lit(1) + _noise(2, 11)).cast("int").alias("grade"), F.lit(False).alias("__fault"))
-    bad = F.col("id") < 20
-    return _planted(normal, _faulty(spark, pct=F.when(bad, 1000.0).otherwise(F.col("id").cast("double") % 100), grade=F.lit(12), __fault=bad))
+def crash_rows(base: DataFrame) -> DataFrame:
+    """Sight by severity. The fault: a sensor's missing values, which the job takes for zero."""
+    lost = F.col("id") < 120
+    normal = {"miles": F.lit(5.0) + _noise(1, 6), "severity": F.element_at(F.array(F.lit(1), F.lit(3), F.lit(4)), (F.lit(1) + _noise(2, 3)).cast("int"))}
+    return _planted(base, normal, {"miles": F.when(lost, None).otherwise(F.lit(8.0)), "severity": F.lit(2)}, lost)
 
 
-def accident_rows(spark: SparkSession, rows: int) -> DataFrame:
-    kinds = F.element_at(F.array(F.lit(1), F.lit(3), F.lit(4)), (F.lit(1) + _noise(2, 3)).cast("int"))
-    normal = spark.range(rows).select(F.col("id").alias("rid"), (F.lit(5.0) + _noise(1, 6)).alias("visibility"), kinds.alias("severity"), F.lit(False).alias("__fault"))
-    bad = F.col("id") < 120
-    return _planted(normal, _faulty(spark, visibility=F.when(bad, None).otherwise(F.lit(8.0)), severity=F.lit(2), __fault=bad))
+def sale_rows(base: DataFrame) -> DataFrame:
+    """Sales by store and day. The fault: refunds booked as sales, all on one day."""
+    refund = F.col("id") < 20
+    normal = {"store": _noise(1, 99).cast("int"), "day": (F.lit(1) + _noise(2, 5)).cast("int"), "paid": F.lit(1.0) + _noise(3, 100)}
+    faulty = {"store": F.lit(99), "day": F.when(refund, 3).otherwise(1 + F.col("id") % 5).cast("int"), "paid": F.when(refund, -1000.0).otherwise(1.0 + F.col("id") % 100)}
+    return _planted(base, normal, faulty, refund)
 
 
-def sales_rows(spark: SparkSession, rows: int) -> DataFrame:
-    normal = spark.range(rows).select(F.col("id").alias("rid"), _noise(1, 99).cast("int").alias("store"), (F.lit(1) + _noise(2, 5)).cast("int").alias("day"), (F.lit(1.0) + _noise(3, 100)).alias("raw"), F.lit(False).alias("__fault"))
-    bad = F.col("id") < 20
-    return _planted(normal, _faulty(spark, store=F.lit(99), day=F.when(bad, 3).otherwise(1 + F.col("id") % 5).cast("int"), raw=F.when(bad, -1000.0).otherwise(1.0 + F.col("id") % 100), __fault=bad))
+def request_rows(base: DataFrame) -> DataFrame:
+    """Times of requests by server. The fault: a few that wait for a timeout."""
+    slow = F.col("id") < 15
+    normal = {"server": _noise(1, 99).cast("int"), "millis": F.lit(1.0) + _noise(3, 9)}
+    return _planted(base, normal, {"server": F.lit(99), "millis": F.when(slow, 1000.0).otherwise(1.0 + F.col("id") % 9)}, slow)
 
 
-def latency_rows(spark: SparkSession, rows: int) -> DataFrame:
-    normal = spark.range(rows).select(F.col("id").alias("rid"), _noise(1, 99).cast("int").alias("store"), (F.lit(1) + _noise(2, 5)).cast("int").alias("day"), (F.lit(1.0) + _noise(3, 9)).alias("raw"), F.lit(False).alias("__fault"))
-    bad = F.col("id") < 15
-    return _planted(normal, _faulty(spark, store=F.lit(99), day=(1 + F.col("id") % 5).cast("int"), raw=F.when(bad, 1000.0).otherwise(1.0 + F.col("id") % 9), __fault=bad))
+#: Words of the reviews, and what a reader makes of them.
+LEXICON = {"the": 0.0, "screen": 0.0, "fine": 0.5, "battery": 0.0, "slow": -0.4, "bright": 0.6, "broken": -0.8, "light": 0.2}
+WORST = ("abysmal", -100.0)
+
+
+def review_rows(base: DataFrame) -> DataFrame:
+    """Reviews of items: words, and their scores by the lexicon. The fault: one word with a score out of all proportion."""
+    words, extreme = F.array(*map(F.lit, LEXICON)), F.col("id") < 20
+    scores = F.create_map(*[F.lit(x) for w in (*LEXICON.items(), WORST) for x in w])
+    word = lambda k: F.element_at(words, (F.lit(1) + k).cast("int"))
+    drawn = F.transform(F.sequence(F.lit(0), (F.lit(2) + _noise(2, 20)).cast("int")), lambda j: word(F.pmod(F.xxhash64("id", j), F.lit(len(LEXICON)))))
+    told = F.transform(F.sequence(F.lit(0), (F.lit(2) + F.col("id") % 5).cast("int")), lambda j: word((F.col("id") + j) % len(LEXICON)))
+    told = F.when(extreme, F.concat(told, F.array(F.lit(WORST[0])))).otherwise(told)
+    scored = lambda tokens: F.transform(tokens, lambda w: F.element_at(scores, w))
+    return _planted(base, {"item": (F.lit(1) + _noise(1, 99)).cast("int"), "tokens": drawn, "scores": scored(drawn)}, {"item": F.lit(1000), "tokens": told, "scores": scored(told)}, extreme)
 
 
 @udf("double")
-def duration(arr_min, dep_min):
-    return float(arr_min - dep_min)
+def aloft(landing, takeoff):
+    return 1.0 * (landing - takeoff)
 
 
 @udf("double")
-def taxi(dep_min):
-    return float(dep_min % 60)
+def gate_wait(takeoff):
+    return takeoff % 60 / 1.0
 
 
 @udf("double")
-def to_mm(value, unit):
-    return value if unit == "mm" else value * 304.8
+def millimetres(reading, scale):
+    if scale == "in":
+        return reading * 25.4
+    return reading
 
 
 @udf("double")
-def scaled(pct):
-    return pct / 25
+def millimetres_np(reading, scale):
+    import numpy as np
+
+    factor = 25.4 if scale == "in" else 1.0
+    return float(np.prod([reading, factor]))
 
 
 @udf("double")
-def cleaned(visibility):
-    return visibility if visibility is not None else 0.0
+def marks(points):
+    return points / 100
 
 
 @udf("double")
-def amount(raw):
-    return raw * 1.0
+def sight(miles):
+    return 0.0 if miles is None else miles
 
 
 @udf("double")
-def to_mm_np(value, unit):
-    import numpy as np
+def taken(paid):
+    return paid + 0.0
+
 
-    return float(np.multiply(value, 1.0 if unit == "mm" else 304.8))
+@udf("double")
+def waited(millis):
+    return millis + 0.0
 
 
 @udf("double")
@@ -117,39 +147,49 @@ def sentiment(tokens, scores):
     return total / used if used > 0 else 0.0
 
 
-def review_rows(spark: SparkSession, rows: int) -> DataFrame:
-    """Reviews of items with scored tokens; the faulty item's first reviews hold one extreme token."""
-
-    def review(score: Column) -> dict[str, Column]:
-        words = F.array(F.lit("the"), F.lit("screen"), F.lit("is"), F.lit("fine"))
-        return {"tokens": words, "scores": F.array(F.lit(0.0), F.lit(0.1), F.lit(0.0), score)}
-
-    normal = spark.range(rows).select(F.col("id").alias("rid"), (F.lit(1) + _noise(1, 99)).cast("int").alias("item"), *[c.alias(n) for n, c in review(_noise(2, 10) / 10).items()], F.lit(False).alias("__fault"))
-    bad = F.col("id") < 20
-    return _planted(normal, _faulty(spark, item=F.lit(1000), **review(F.when(bad, -100.0).otherwise(0.5)), __fault=bad))
+def token_trace(review: dict) -> list[tuple[str, float, bool]]:
+    """For one review, each token, its score, and whether the score flows into the review's sentiment."""
+    data, _, _ = element_reads(sentiment.fn, sentiment.params, review)
+    return [(w, s, f"scores[{k}]" in data) for k, (w, s) in enumerate(zip(review["tokens"], review["scores"], strict=True))]
 
 
 @dataclass(frozen=True)
 class Program:
-    """A job: its input, its query, the UDFs it measures with, the suspicious output and the column it stands out by."""
+    """A job: its rows over a table with a column id, its query, the UDFs it measures with, the suspicious output and the column it stands out by.
 
-    rows: Callable[[SparkSession, int], DataFrame]
+    group: the faulty group's key as a predicate on the rows. agg, sql: the aggregate behind `column`, and the values of the faulty group's records, by number, as SQL.
+    """
+
+    rows: Callable[[DataFrame], DataFrame]
     query: Callable[[DataFrame], DataFrame]
     measures: tuple[TracedUDF, ...]
     suspicious: str
     column: str
+    group: str
+    agg: str
+    sql: str
+
+
+def _by(key: str, measure: TracedUDF, columns: tuple[str, ...], **aggs: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda d: d.withColumn("m", measure(*columns)).groupBy(key).agg(*[F.expr(c).alias(n) for n, c in aggs.items()])
+
 
+_ALOFT = "CASE WHEN i < 20 THEN 15 ELSE 1440 END - (1380 + i % 55)"
+_RAIN = "CASE WHEN i = 0 THEN 90 * 25.4 ELSE i % 80 END"
+_WORDS = f"[{', '.join(str(v) for v in LEXICON.values())}]"
+_HEARD = f"list_transform(list_filter(range(3 + i % 5), lambda j: (i + j) % {len(LEXICON)} <> 0), lambda j: {_WORDS}[(i + j) % {len(LEXICON)} + 1])"
+_MOOD = f"(coalesce(list_sum({_HEARD}), 0) + CASE WHEN i < 20 THEN {WORST[1]} ELSE 0 END) / (len({_HEARD}) + CASE WHEN i < 20 THEN 1 ELSE 0 END)"
 
 PROGRAMS: dict[str, Program] = {
-    "airport": Program(airport_rows, lambda d: d.withColumn("mins", duration("arr_min", "dep_min")).groupBy("dep_hr").agg(F.sum("mins").alias("total")), (duration,), "total < 9000 and dep_hr = 23", "total"),
-    "airport_multi": Program(airport_rows, lambda d: d.withColumn("mins", duration("arr_min", "dep_min")).withColumn("wait", taxi("dep_min")).groupBy("dep_hr").agg(F.sum("mins").alias("total"), F.avg("wait").alias("wait_avg"), F.max("mins").alias("longest")), (duration, taxi), "dep_hr = 23", "total"),
-    "weather": Program(weather_rows, lambda d: d.withColumn("mm", to_mm("value", "unit")).groupBy("month").agg(F.max("mm").alias("most")), (to_mm,), "most > 1000", "most"),
-    "weather_np": Program(weather_rows, lambda d: d.withColumn("mm", to_mm_np("value", "unit")).groupBy("month").agg(F.max("mm").alias("most")), (to_mm_np,), "most > 1000", "most"),
-    "sentiment": Program(review_rows, lambda d: d.withColumn("mood", sentiment("tokens", "scores")).groupBy("item").agg(F.avg("mood").alias("mean")), (sentiment,), "mean < 0", "mean"),
-    "student": Program(student_rows, lambda d: d.withColumn("gpa", scaled("pct")).groupBy("grade").agg(F.avg("gpa").alias("mean")), (scaled,), "mean > 3", "mean"),
-    "accidents": Program(accident_rows, lambda d: d.withColumn("vis", cleaned("visibility")).groupBy("severity").agg(F.avg("vis").alias("mean")), (cleaned,), "mean < 5", "mean"),
-    "nested": Program(sales_rows, lambda d: d.withColumn("sale", amount("raw")).groupBy("store", "day").agg(F.sum("sale").alias("daily_total")).groupBy("store").agg(F.avg("daily_total").alias("store_avg")), (amount,), "store_avg < 0", "daily_total"),
-    "holistic": Program(latency_rows, lambda d: d.withColumn("ms", amount("raw")).groupBy("store").agg(F.expr("percentile(ms, 0.95)").alias("p95")), (amount,), "p95 > 20", "p95"),
+    "airport": Program(flight_rows, _by("hour", aloft, ("landing", "takeoff"), total="sum(m)"), (aloft,), "total < 9000 and hour = 23", "total", "hour = 23", "sum", _ALOFT),
+    "airport_multi": Program(flight_rows, lambda d: d.withColumn("m", aloft("landing", "takeoff")).withColumn("w", gate_wait("takeoff")).groupBy("hour").agg(F.sum("m").alias("total"), F.avg("w").alias("wait"), F.max("m").alias("longest")), (aloft, gate_wait), "hour = 23", "total", "hour = 23", "sum", _ALOFT),
+    "weather": Program(rain_rows, _by("month", millimetres, ("reading", "scale"), most="max(m)"), (millimetres,), "most > 1000", "most", "month = 12", "max", _RAIN),
+    "weather_np": Program(rain_rows, _by("month", millimetres_np, ("reading", "scale"), most="max(m)"), (millimetres_np,), "most > 1000", "most", "month = 12", "max", _RAIN),
+    "sentiment": Program(review_rows, _by("item", sentiment, ("tokens", "scores"), mean="avg(m)"), (sentiment,), "mean < -0.5 and item = 1000", "mean", "item = 1000", "avg", _MOOD),
+    "student": Program(exam_rows, _by("year", marks, ("points",), mean="avg(m)"), (marks,), "mean > 3.5", "mean", "year = 12", "avg", "CASE WHEN i < 20 THEN 4000 ELSE i END / 100.0"),
+    "accidents": Program(crash_rows, _by("severity", sight, ("miles",), mean="avg(m)"), (sight,), "mean < 5", "mean", "severity = 2", "avg", "CASE WHEN i < 120 THEN 0 ELSE 8 END"),
+    "nested": Program(sale_rows, lambda d: d.withColumn("m", taken("paid")).groupBy("store", "day").agg(F.sum("m").alias("daily")).groupBy("store").agg(F.avg("daily").alias("mean")), (taken,), "mean < 0", "daily", "store = 99", "sum", "CASE WHEN i < 20 THEN -1000 ELSE 1 + i % 100 END"),
+    "holistic": Program(request_rows, _by("server", waited, ("millis",), p95="percentile(m, 0.95)"), (waited,), "p95 > 20", "p95", "server = 99", "p95", "CASE WHEN i < 15 THEN 1000 ELSE 1 + i % 9 END"),
 }
 
 

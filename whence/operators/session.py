@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import udf as _udf
-from ..functions.taint import column_provenance
+from ..functions.taint import REGIMES, column_provenance, trace
 from ..plans.graph import CaptureGraph
 from ..plans.rewrite import NotCaptured, Rewriter
 from .cursor import DRIVER_IDS, Cursor, SourceWitnesses
@@ -28,15 +28,30 @@ class Lineage:
 
     strict: refuse operators whose lineage the level of a group or key cannot express (global sorts, joins without equal keys, ranges).
     storage: level of the stored tables. prune: read only files that hold wanted rows when ids become rows again.
+
+    Settings that are not given come from the session's configuration: spark.whence.capture, spark.whence.influence, spark.whence.focus,
+    spark.whence.storageLevel (a name such as DISK_ONLY), spark.whence.prune and spark.whence.lazyCellDriverMax (witnesses up to which lazy-cell runs on the driver; or the
+    environment variable LAZY_CELL_DRIVER_MAX). As a context manager it drops all that it stored at the end.
     """
 
-    def __init__(self, spark: SparkSession, strict: bool = True, storage: StorageLevel = StorageLevel.MEMORY_AND_DISK, prune: bool = True):
-        self.spark, self.strict, self.storage = spark, strict, storage
-        self.capturing, self.influence_on, self.focus, self.prune = True, False, "", prune
+    def __init__(self, spark: SparkSession, strict: bool = True, storage: StorageLevel | None = None, prune: bool | None = None):
+        of = lambda name, default: spark.conf.get(f"spark.whence.{name}", default)
+        on = lambda name, default: str(of(name, default)).lower() == "true"
+        self.spark, self.strict = spark, strict
+        self.storage = storage or getattr(StorageLevel, of("storageLevel", "MEMORY_AND_DISK"))
+        self.prune = on("prune", "true") if prune is None else prune
+        self.capturing, self.influence_on, self.focus = on("capture", "true"), on("influence", "false"), of("focus", "")
         self.measures: list[_udf.TracedUDF] = []
         self.mode, self.fallback = "column", None
         self._graphs: dict[int, tuple[DataFrame, CaptureGraph | None]] = {}
 
+    def __enter__(self) -> Lineage:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release_all()
+        self.disable_udf_aware()
+
     # ---- settings
 
     def enable_capture(self) -> None:
@@ -139,6 +154,13 @@ class Lineage:
                 s.unpersist()
             g.released = True
 
+    def release_all(self) -> None:
+        """Drops what was stored for every query, and forgets the queries."""
+        for df, g in list(self._graphs.values()):
+            if g is not None:
+                self.release_lineage(df)
+        self._graphs.clear()
+
     def lineage_size(self, df: DataFrame) -> tuple[int, int]:
         """Bytes in memory and on disk of what is stored."""
         g = self.graph(df)
@@ -155,38 +177,67 @@ class Lineage:
     # ---- what UDFs read
 
     def annotated(self, cursor: Cursor, full: bool) -> list[dict]:
-        rows = [r.asDict(True) for r in cursor.witnesses(full, keep_id="__id").collect()]
-        if self.mode == "cell":
-            codes = self._codes(cursor)
+        """The witnesses as dicts, with what the UDFs read; rows that no traced call read have no such keys."""
+        most = int(self.spark.conf.get("spark.whence.lazyCellDriverMax", os.environ.get("LAZY_CELL_DRIVER_MAX", "50000")))
+        if self.mode == "lazy-cell" and cursor.known_size() <= most:
+            rows = [r.asDict(True) for r in cursor.witnesses(full).collect()]
+            mine = [(m.params, m.fn, trace(m.fn)) for m in self.measures if rows and set(m.params) <= set(rows[0])]
             for r in rows:
-                _udf.annotate(r, [_udf.decode(c, m.params) for m in self.measures if (c := codes.get((r["__id"], m.code_name))) is not None])
-        elif self.mode == "column":
-            for r in rows:
-                _udf.annotate(r, [p for m in self.measures if set((p := column_provenance(m.fn))[0]) | set(p[1]) <= set(r)])
-        else:
-            self._lazy(rows)
-        for r in rows:
-            del r["__id"]
-        return rows
-
-    def _codes(self, cursor: Cursor) -> dict[tuple[int, str], int]:
-        out: dict[tuple[int, str], int] = {}
+                _udf.annotate(r, [_udf.traced_call(fn, params, r, traced) for params, fn, traced in mine])
+            return rows
+        rows = [r.asDict(True) for r in self.annotations(cursor, full).collect()]
+        return [{k: v for k, v in r.items() if k not in _udf.READS or r["_regime"] is not None} for r in rows]
+
+    def annotations(self, cursor: Cursor, full: bool = False) -> DataFrame:
+        """The witnesses as a table, with _data and _control (names of fields that the UDFs read) and _regime; null where no traced call is known."""
+        if self.mode == "cell":
+            return self._cells(cursor, full)
+        rows = cursor.witnesses(full)
+        if self.mode == "lazy-cell":
+            return self._lazy(rows)
+        found = [p for m in self.measures if set((p := column_provenance(m.fn))[0]) | set(p[1]) <= set(rows.columns)]
+        one: dict = {}
+        _udf.annotate(one, found)
+        names = lambda c: F.array(*map(F.lit, one[c])).cast("array<string>") if one else F.lit(None).cast("array<string>")
+        return rows.select("*", names("_data").alias("_data"), names("_control").alias("_control"), F.lit(one.get("_regime")).cast("string").alias("_regime"))
+
+    def _cells(self, cursor: Cursor, full: bool) -> DataFrame:
+        """Joins the codes that capture stored; several calls on a record add up."""
+        rows, found = cursor.witnesses(full, keep_id="__id"), None
         for level in cursor.graph.levels():
             if level is cursor.level and level.code_table is not None:
-                for name, (ident, code) in level.codes.items():
-                    t = level.code_table.select(F.col(ident).alias("id"), F.col(code).alias("code")).join(cursor.frontier, "id", "left_semi")
-                    out.update({(r["id"], name): r["code"] for r in t.distinct().collect()})
-        return out
-
-    def _lazy(self, rows: list[dict]) -> None:
-        most = int(os.environ.get("LAZY_CELL_DRIVER_MAX", "50000"))
-        mine = [m for m in self.measures if rows and set(m.params) <= set(rows[0])]
-        if len(rows) <= most:
-            for r in rows:
-                _udf.annotate(r, [_udf.traced_call(m.fn, m.params, r) for m in mine])
-            return
-        jobs = [(m.fn, m.params) for m in mine]
-        values = [[tuple(r[p] for p in m.params) for m in mine] for r in rows]
-        found = self.spark.sparkContext.parallelize(values).map(lambda v: [_udf.traced_call(fn, ps, dict(zip(ps, x, strict=True))) for (fn, ps), x in zip(jobs, v, strict=True)]).collect()
-        for r, f in zip(rows, found, strict=True):
-            _udf.annotate(r, f)
+                for m in self.measures:
+                    if m.code_name in level.codes:
+                        ident, code = level.codes[m.code_name]
+                        data, control, regime = _udf.reads_of_code(F.col("__code"), m.params)
+                        t = level.code_table.select(F.col(ident).alias("__id"), F.col(code).alias("__code")).filter("__code is not null")
+                        t = t.join(cursor.frontier.withColumnRenamed("id", "__id"), "__id", "left_semi").distinct().select("__id", data.alias("d"), control.alias("c"), regime.alias("r"))
+                        found = t if found is None else found.unionByName(t)
+        if found is None:
+            return rows.drop("__id").select("*", *[F.lit(None).cast("array<string>").alias(c) for c in _udf.READS[:2]], F.lit(None).cast("string").alias("_regime"))
+        all_of = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))  # noqa: E731  a set of few masks for each record
+        regime = F.element_at(F.array(*map(F.lit, REGIMES)), F.max("r") + 1)
+        found = found.groupBy("__id").agg(all_of("d").alias("_data"), all_of("c").alias("_control"), regime.alias("_regime"))
+        return rows.join(found, "__id", "left").drop("__id")
+
+    def _lazy(self, rows: DataFrame) -> DataFrame:
+        """Traces the calls again, for the witnesses only, in batches on the cluster."""
+        jobs = [(m.fn, m.params) for m in self.measures if set(m.params) <= set(rows.columns)]
+        none = [F.lit(None).cast("array<string>").alias(c) for c in _udf.READS[:2]]
+        out = rows.select("*", *none, F.lit(None).cast("string").alias("_regime")).schema
+        names = rows.columns
+
+        def run(batches):
+            import pyarrow as pa
+
+            made = [(fn, params, trace(fn)) for fn, params in jobs]
+            kinds = (pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
+            for b in batches:
+                found = [{} for _ in range(b.num_rows)]
+                if made:
+                    for got, r in zip(found, b.to_pylist(), strict=True):
+                        _udf.annotate(got, [_udf.traced_call(fn, params, r, traced) for fn, params, traced in made])
+                more = [pa.array([x.get(c) for x in found], k) for c, k in zip(_udf.READS, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*names, *_udf.READS])
+
+        return rows.mapInArrow(run, out)

@@ -1,19 +1,22 @@
 """Capture: a query's optimized plan with ids carried through it, and the graph of levels that link them.
 
 Ids travel as ordinary columns. At every aggregate, window and right side of a semi join (the places where rows lose their identity) the
-rows that flow in are stored once, with their ids, and the job goes on from the stored table: it runs once, and the stored
-tables are the lineage. Ids of groups and joined rows are hashes of keys and ids, so recomputing a lost part of a stored
-table yields the same ids.
+columns that the rest of the job needs are stored once, with their ids, and the job goes on from the stored table: it runs once, and the stored
+tables are the lineage. Ids of groups, and what each record contributes, are expressions over the stored columns, taken when a trace asks for them. Ids of groups and joined rows are
+hashes of keys and ids, so recomputing a lost part of a stored table yields the same ids. They have 64 bits: among n groups or joined rows of one query n**2 / 2**65 pairs are expected to share an id
+(3e-8 for a million, 3 for ten thousand million), and a shared id adds the other group's witnesses to a trace. Ids of Parquet rows share none.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import count
 from typing import Any
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,11 +101,11 @@ class Rewriter:
 
     # ---- sources
 
-    def _source(self, leaf: Any, ident: Column, files: dict | None, path: str | None) -> State:
+    def _source(self, leaf: Any, ident: Column, files: dict | None, path: str | None, by_file: bool = False) -> State:
         base = self.b.of_rows(leaf)
         used = [a.name() for a in self.b.output(leaf) if self.b.expr_id(a) in self.used]
         name = self.name("s")
-        level = Level("scan", source=Source(base, ident, used, path, files))
+        level = Level("scan", source=Source(base, ident, used, path, files, by_file))
         return State(base.select("*", ident.alias(name)), name, level, [], [level])
 
     def on_LogicalRelation(self, leaf: Any) -> State:
@@ -114,7 +117,7 @@ class Rewriter:
         base = self.b.of_rows(leaf)
         if "parquet" in relation.fileFormat().toString().lower():
             ident, files = parquet_ident(base)
-            return self._source(leaf, ident, files, path)
+            return self._source(leaf, ident, files, path, True)
         return self._source(leaf, F.monotonically_increasing_id(), None, path)
 
     def _numbered(self, leaf: Any) -> State:
@@ -223,13 +226,12 @@ class Rewriter:
             inner = self.name("d")
             members.append(self._hashed([self.b.column(k) for k in [*keys, *distinct]], kinds + [x.dataType().simpleString() for x in distinct], salt + 1_000_003).alias(inner))
         lineage = [*state.extras, out, *[s.column for s in slots], *([inner] if distinct is not None else [])]
-        seen = flow.select("*", *members)
-        focused = self._focus(seen)
-        if focused is None:
-            stored = self.store(state, seen)
-            inputs = stored
+        focused = self._focus(flow)
+        if focused is None:  # hashes and contributions are taken from the stored columns when a trace asks for them
+            inputs = self.store(state, flow)
+            stored = inputs.select("*", *members).select(*lineage)
         else:  # the job's rows are not stored, only the lineage of the named groups
-            stored = self.store(state, focused.select(*lineage))
+            stored = self.store(state, focused.select("*", *members).select(*lineage))
             self.graph.apart.append(stored)
             inputs = flow
         level.table = stored
@@ -280,9 +282,16 @@ class Rewriter:
             got = seen.filter(self.focus)
             got.schema  # noqa: B018  resolves the predicate
             return got
-        except Exception:  # a predicate on other columns leaves capture whole
+        except AnalysisException as e:
+            if "UNRESOLVED_COLUMN" not in str(e):
+                raise
+            warnings.warn(f"the focus {self.focus!r} names columns that an aggregate's input does not have: its lineage is captured whole", stacklevel=2)
             return None
 
+    def on_WindowGroupLimit(self, node: Any) -> State:
+        """Rows that a filter on a rank above the window drops early: the window and its filter do the same without, and all rows stay peers."""
+        return self.walk(node.child())
+
     def on_Window(self, node: Any) -> State:
         state, salt = self.walk(node.child()), next(self.number)
         spec = self.b.items(node.partitionSpec())
@@ -354,5 +363,5 @@ class Rewriter:
         return self.b.expressions.Alias(a, wanted.name(), wanted.exprId(), self.b.seq([]), nothing, self.b.seq([]))
 
 
-for _kind in ("WithCTE", "CTERelationRef", "WindowGroupLimit", "Sample"):
+for _kind in ("WithCTE", "CTERelationRef", "Sample"):
     assert not hasattr(Rewriter, f"on_{_kind}")  # these are refused

@@ -1,6 +1,6 @@
 """Registered queries: each traces, scores or explains an output, and returns plain columns that SQL can check.
 
-Every query has a DuckDB statement over the same tables in `oracle_sql`, but for those on generated tables. Doubles are rounded on both sides.
+Every query has a DuckDB statement over the same tables in `oracle_sql`. Doubles are rounded on both sides. Frontiers are tables throughout: no list of ids is fetched.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .functions.udf import udf
 from .operators.cursor import Cursor
-from .operators.programs import PROGRAMS, STARS
-from .operators.rdd import LineageContext
+from .operators.programs import FAULTY, PROGRAMS, STARS
+from .operators.rdd import LineageContext, key_id
 from .operators.session import Lineage
 from .sources.tables import table
 
@@ -73,7 +73,20 @@ _add("trace_agg_sum", _trace(_SUM, "f = 'R'", (0,), LINE), _lines("l_returnflag
 _add("trace_agg_having", _trace("select l_returnflag as f, l_linestatus as t, sum(l_quantity) as s, count(*) as c from {lineitem} where l_quantity > 5 group by 1, 2 having sum(l_quantity) > 100", "f = 'A' and t = 'F'", (0,), LINE), _lines("l_returnflag = 'A' and l_linestatus = 'F' and l_quantity > 5"))
 _add("trace_agg_expr_key", _trace("select lower(l_returnflag) as f, sum(l_quantity + 1) as s from {lineitem} where l_extendedprice > 1000 group by lower(l_returnflag)", "f = 'n'", (0,), LINE), _lines("l_returnflag = 'N' and l_extendedprice > 1000"))
 _add("trace_distinct", _trace("select distinct o_orderpriority as p from {orders}", "p = '1-URGENT'", (0,), "o_orderkey, o_custkey, o_totalprice, o_orderpriority"), "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT'")
-_add("trace_full_show", _Q["trace_distinct"], _SQL["trace_distinct"])
+
+
+def _shown(full: bool) -> Query:
+    """The witnesses of one group as they are shown: the columns that the query used, or every column of the source."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = Lineage(spark)
+        return t.trace_where(_frame(spark, sf_dir, "select n_regionkey as r, max(n_name) as m from {nation} group by 1"), "r = 2").go_back().witnesses(full)
+
+    return run
+
+
+_add("trace_used_show", _shown(False), "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
+_add("trace_full_show", _shown(True), "SELECT * FROM nation WHERE n_regionkey = 2")
 _add("trace_count_distinct", _trace("select l_returnflag as f, count(distinct l_suppkey) as n from {lineitem} group by 1", "f = 'R'", (0, 0), LINE), _lines("l_returnflag = 'R'"))
 _add("trace_mixed_distinct", _trace("select l_returnflag as f, count(distinct l_suppkey) as n, sum(l_quantity) as q from {lineitem} group by 1", "f = 'A'", (0, 0), LINE), _lines("l_returnflag = 'A'"))
 _GROUPS = "select l_returnflag as f, l_linestatus as t, sum(l_quantity) as s from {{lineitem}} where l_quantity > 30 group by {}"
@@ -85,28 +98,25 @@ for _name, _call in (("percentile", "percentile(l_quantity, 0.9)"), ("collect_li
     _add(f"trace_{_name}", _trace(f"select l_linestatus as t, {_call} as v from {{lineitem}} where l_discount > 0.05 group by 1", "t = 'F'", (0,), LINE), _lines("l_linestatus = 'F' and l_discount > 0.05"))
 
 
-def trace_agg_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Lineage(spark)
-    df = _frame(spark, sf_dir, "select sum(l_quantity) as s, count(*) as c from {lineitem}")
-    rows = t.trace_where(df, "c > 0").go_back().witnesses(full=True)
-    return rows.agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
-
-
-_add("trace_agg_global", trace_agg_global, "SELECT count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem")
+_add("trace_agg_global", _trace("select sum(l_quantity) as s, count(*) as c from {lineitem}", "c > 0", (0,), LINE), _lines("true"))
+_LEVEL = "case when l_quantity > 40 then 'high' when l_quantity > 20 then 'middle' else 'low' end"
+_add("trace_conditional", _trace(f"select {_LEVEL} as k, sum(coalesce(nullif(l_tax, 0.0), 1.0)) as s from {{lineitem}} group by 1", "k = 'middle'", (0,), LINE), _lines("l_quantity > 20 and l_quantity <= 40"))
+_add("trace_json", _trace("select get_json_object(to_json(named_struct('f', l_returnflag, 'q', l_quantity)), '$.f') as f, count(*) as c from {lineitem} group by 1", "f = 'R'", (0,), LINE), _lines("l_returnflag = 'R'"))
+_add("trace_empty", _trace("select n_name from {nation} where 1 = 0", "true", (), "n_name"), "SELECT n_name FROM nation WHERE 1 = 0")
 
 # ---- joins
 _ORDER, _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE "
 _CUST, _CUSTS = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE "
 _JOIN = "select l_orderkey, l_linenumber, o_totalprice from {lineitem} join {orders} on l_orderkey = o_orderkey"
-_add("trace_join_left", _trace(_JOIN, "l_orderkey % 500 = 7", (0,), LINE), _lines("l_orderkey % 500 = 7"))
-_add("trace_join_right", _trace(_JOIN, "l_orderkey % 500 = 7", (1,), _ORDER), _ORDERS + "o_orderkey % 500 = 7 and o_orderkey in (select l_orderkey from lineitem)")
-_add("trace_join_left_all", _trace(_JOIN, "true", (0,), LINE), _lines("l_orderkey in (select o_orderkey from orders)"))
-_add("trace_join_right_all", _trace(_JOIN, "true", (1,), _ORDER), _ORDERS + "o_orderkey in (select l_orderkey from lineitem)")
+_add("trace_join_left", _trace(_JOIN, "true", (0,), LINE), _lines("l_orderkey in (select o_orderkey from orders)"))
+_add("trace_join_right", _trace(_JOIN, "true", (1,), _ORDER), _ORDERS + "o_orderkey in (select l_orderkey from lineitem)")
+_FLAGS = "select name, sum(l_quantity) as s from {lineitem} join values ('R', 'returned'), ('A', 'accepted') as v(flag, name) on l_returnflag = flag group by name"
+_add("trace_inline_join", _trace(_FLAGS, "name = 'returned'", (0, 0), LINE), _lines("l_returnflag = 'R'"))
 _LONE = "o_orderkey not in (select l_orderkey from lineitem)"
 _add("trace_left_outer_unmatched", _trace("select o_orderkey, l_linenumber from {orders} left join {lineitem} on l_orderkey = o_orderkey", "l_linenumber is null", (0,), _ORDER), _ORDERS + _LONE)
 _add("trace_right_outer", _trace("select l_linenumber, o_orderkey from {lineitem} right join {orders} on l_orderkey = o_orderkey", "l_linenumber is null", (1,), _ORDER), _ORDERS + _LONE)
 _add("trace_full_outer", _trace("select o_orderkey, l_linenumber from {orders} full join {lineitem} on l_orderkey = o_orderkey", "l_linenumber is null", (0,), _ORDER), _ORDERS + _LONE)
-_add("trace_outer_other_side", _trace("select o_orderkey, l_linenumber from {orders} left join {lineitem} on l_orderkey = o_orderkey", "l_linenumber is null", (1,), LINE), _lines("1 = 0"))
+_add("trace_outer_other_side", _trace("select o_orderkey, o_orderpriority, l_linenumber from {orders} left join (select * from {lineitem} where l_quantity > 45) on l_orderkey = o_orderkey", "o_orderpriority = '1-URGENT'", (1,), LINE), _lines("l_quantity > 45 and l_orderkey in (select o_orderkey from orders where o_orderpriority = '1-URGENT')"))
 _SEMI = "select o_orderkey from {orders} where o_orderkey in (select l_orderkey from {lineitem} where l_quantity > 48)"
 _add("trace_semi", _trace(_SEMI, "o_orderkey > 0", (0,), _ORDER), _ORDERS + "o_orderkey in (select l_orderkey from lineitem where l_quantity > 48)")
 _add("trace_semi_right", _trace(_SEMI, "o_orderkey > 0", (1,), LINE), _lines("l_quantity > 48"))
@@ -130,6 +140,9 @@ _add("trace_join_agg_right", _last_nation((0, 0, 1), _CUST), _CUSTS + "c_nationk
 _add("trace_self_join", _trace("select a.n_nationkey as x, b.n_nationkey as y from {nation} a join {nation} b on a.n_regionkey = b.n_regionkey where a.n_nationkey < b.n_nationkey", "x < 3", (1,), "n_nationkey, n_name"), "SELECT DISTINCT b.n_nationkey, b.n_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE a.n_nationkey < 3")
 # ---- windows, top-k, set operations, generators
 _add("trace_window_peers", _trace("select c_custkey, c_mktsegment, rank() over (partition by c_mktsegment order by c_acctbal desc) as r from {customer}", "r = 1 and c_mktsegment = 'BUILDING'", (0,), _CUST), _CUSTS + "c_mktsegment = 'BUILDING'")
+_BEST = "select c_custkey, c_mktsegment from (select *, {}() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as r from {{customer}}) where r <= 3"
+for _name in ("row_number", "rank", "dense_rank"):
+    _add(f"trace_topn_{_name}", _trace(_BEST.format(_name), "c_mktsegment = 'BUILDING'", (0,), _CUST), _CUSTS + "c_mktsegment = 'BUILDING'")
 _TOP = "order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey limit 5"
 _add("trace_topk", _trace(f"select l_orderkey, l_linenumber, l_partkey, l_extendedprice from {{lineitem}} {_TOP}", "true", (0,), LINE), f"SELECT {LINE} FROM lineitem {_TOP}")
 _add("trace_topk_pruned_key", _trace(f"select l_quantity from {{lineitem}} {_TOP}", "true", (0,), LINE), f"SELECT {LINE} FROM lineitem {_TOP}")
@@ -139,8 +152,7 @@ _add("trace_union_b0", _trace(_UNION, "true", (0,), LINE), _lines("l_quantity >
 _add("trace_union_b1", _trace(_UNION, "true", (1,), _ORDER), _ORDERS + "o_totalprice > 300000")
 _add("trace_union_agg", _trace("select f, sum(q) as s from (select l_returnflag as f, l_quantity as q from {lineitem} union all select l_returnflag as f, l_tax as q from {lineitem} where l_tax > 0.04) group by f", "f = 'R'", (0, 1), LINE), _lines("l_returnflag = 'R' and l_tax > 0.04"))
 _add("trace_union_of_aggs", _trace("select l_returnflag as f, sum(l_quantity) as s from {lineitem} group by 1 union all select o_orderstatus as f, sum(o_totalprice) as s from {orders} group by 1", "true", (1, 0), _ORDER), _ORDERS + "true")
-_add("trace_union_distinct", _trace("select l_suppkey as k from {lineitem} where l_quantity > 49 union select s_suppkey as k from {supplier}", "k < 20", (0, 1), "s_suppkey, s_name"), "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey < 20")
-_add("trace_union_distinct_all", _trace("select l_suppkey as k from {lineitem} where l_quantity > 49 union select s_suppkey as k from {supplier}", "true", (0, 1), "s_suppkey, s_name"), "SELECT s_suppkey, s_name FROM supplier")
+_add("trace_union_distinct", _trace("select l_suppkey as k from {lineitem} where l_quantity > 49 union select s_suppkey as k from {supplier}", "true", (0, 1), "s_suppkey, s_name"), "SELECT s_suppkey, s_name FROM supplier")
 _add("trace_intersect", _trace("select c_custkey as k from {customer} where c_acctbal > 0 intersect select o_custkey as k from {orders}", "true", (0, 0), _CUST), _CUSTS + "c_acctbal > 0 and c_custkey in (select o_custkey from orders)")
 _add("trace_except", _trace("select o_orderkey as k from {orders} except select l_orderkey as k from {lineitem}", "true", (0, 0), _ORDER), _ORDERS + _LONE)
 _add("trace_explode", _trace("select w, count(*) as n from (select explode(split(text, ' ')) as w from {documents}) group by w", "w = 'the'", (0,), "doc_id, lang, source"), "SELECT doc_id, lang, source FROM documents WHERE list_contains(string_split(text, ' '), 'the')")
@@ -158,28 +170,28 @@ def trace_cached_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("trace_cached_source", trace_cached_source, _CUSTS + "c_mktsegment = 'BUILDING' and c_acctbal > 0")
 
 
-def trace_forward(spark: SparkSession, sf_dir: str, rows: str = "l_orderkey % 700 = 5") -> DataFrame:
-    """From some source rows, by default a few, to all groups that they reach."""
+def trace_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the source rows of one group of one query, all groups of another that they reach."""
     t = Lineage(spark)
     df = _frame(spark, sf_dir, "select l_suppkey as k, sum(l_quantity) as s, count(*) as c from {lineitem} group by 1")
     back = t.trace_where(df, "true").go_back()
-    few = back.witnesses(full=True, keep_id="__id").filter(rows).select(F.col("__id").alias("id"))
-    up = Cursor(back.graph, back.level, few, back.path, 0, t).go_next()
+    some = back.witnesses(full=True, keep_id="__id").filter("l_shipdate >= timestamp_ntz'2001-09-01 00:00:00' and l_quantity > 45").select(F.col("__id").alias("id"))
+    up = Cursor(back.graph, back.level, some, back.path, 0, t).go_next()
     return t.result(df, "id").join(up.frontier, "id", "left_semi").select("k", F.round("s", 2).alias("s"), "c")
 
 
-_add("trace_forward", trace_forward, "SELECT l_suppkey AS k, round(sum(l_quantity), 2) AS s, count(*) AS c FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 700 = 5) GROUP BY 1")
-_add("trace_forward_all", lambda spark, sf_dir: trace_forward(spark, sf_dir, "true"), "SELECT l_suppkey AS k, round(sum(l_quantity), 2) AS s, count(*) AS c FROM lineitem GROUP BY 1")
+_add("trace_forward", trace_forward, "SELECT l_suppkey AS k, round(sum(l_quantity), 2) AS s, count(*) AS c FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate >= timestamp '2001-09-01' AND l_quantity > 45) GROUP BY 1")
 
 
 def trace_all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For one output, the number of witnesses in each source table."""
+    """For one output, the key of every witness in each source table."""
     t = Lineage(spark)
     last = table(spark, sf_dir, "nation").agg(F.max("n_name")).first()[0]
+    keys = {"lineitem": ("l_orderkey", "l_linenumber"), "orders": ("o_orderkey",), "customer": ("c_custkey",), "nation": ("n_nationkey",)}
     found = None
     for c in t.trace_where(_frame(spark, sf_dir, _CHAIN), f"n_name = '{last}'").sources():
         name = c.level.source.path.rstrip("/").rpartition("/")[2].removesuffix(".parquet")
-        n = c.frontier.agg(F.lit(name).alias("source"), F.count("*").alias("n"))
+        n = c.witnesses(full=True).select(F.lit(name).alias("source"), F.concat_ws("-", *keys[name]).alias("key"))
         found = n if found is None else found.unionByName(n)
     return found
 
@@ -188,8 +200,9 @@ _add(
     "trace_all_sources",
     trace_all_sources,
     f"""WITH o AS (SELECT * FROM orders WHERE {_IN} AND o_orderkey IN (SELECT l_orderkey FROM lineitem))
-SELECT 'lineitem' AS source, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)
-UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'customer', count(DISTINCT o_custkey) FROM o UNION ALL SELECT 'nation', 1""",
+SELECT 'lineitem' AS source, l_orderkey || '-' || l_linenumber AS key FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)
+UNION ALL SELECT 'orders', o_orderkey::VARCHAR FROM o UNION ALL SELECT 'customer', o_custkey::VARCHAR FROM (SELECT DISTINCT o_custkey FROM o)
+UNION ALL SELECT 'nation', n_nationkey::VARCHAR FROM nation WHERE n_name = (SELECT max(n_name) FROM nation)""",
 )
 
 
@@ -257,13 +270,9 @@ def _reads(measure, columns: tuple[str, ...], mode: str) -> Query:
         t = Lineage(spark)
         t.enable_udf_aware(measure, mode=mode)
         df = table(spark, sf_dir, "lineitem").filter("l_discount > 0.08").withColumn("m", measure(*columns)).groupBy("l_linestatus").agg(F.sum("m").alias("s"))
-        rows = t.trace_where(df, "l_linestatus = 'F'").go_back().show()
+        rows = t.trace_where(df, "l_linestatus = 'F'").go_back().annotations()
         t.disable_udf_aware()
-        seen: dict[tuple, int] = {}
-        for r in rows:
-            k = (",".join(r["_data"]), ",".join(r["_control"]), r["_regime"])
-            seen[k] = seen.get(k, 0) + 1
-        return spark.createDataFrame([(*k, n) for k, n in seen.items()], "data string, control string, regime string, n long")
+        return rows.groupBy(F.concat_ws(",", "_data").alias("data"), F.concat_ws(",", "_control").alias("control"), F.col("_regime").alias("regime")).agg(F.count("*").alias("n"))
 
     return run
 
@@ -278,6 +287,18 @@ _add("udf_model_extremal", _reads(largest, ("l_quantity", "l_extendedprice"), "l
 _add("udf_coarse_call", _reads(unmodeled, ("l_quantity", "l_tax"), "lazy-cell"), f"SELECT CASE WHEN l_quantity > 25 THEN 'l_quantity' ELSE '' END AS data, 'l_quantity' AS control, CASE WHEN l_quantity > 25 THEN 'coarse' ELSE 'exact' END AS regime, count(*) AS n {_MINE} GROUP BY 1, 3")
 
 
+
+
+def trace_arrow_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a vectorized UDF."""
+    fee = F.pandas_udf(lambda q: q * 0.5, "double")
+    df = table(spark, sf_dir, "lineitem").withColumn("fee", fee("l_quantity")).groupBy("l_linestatus").agg(F.sum("fee").alias("s"))
+    return Lineage(spark).trace_where(df, "l_linestatus = 'F'").go_back().witnesses(full=True).selectExpr(*LINE.split(", "))
+
+
+_add("trace_arrow_udf", trace_arrow_udf, _lines("l_linestatus = 'F'"))
+
+
 # ---- star joins: the group with the largest measure, its witnesses
 def _star_query(name: str) -> Query:
     star = STARS[name]
@@ -301,23 +322,24 @@ for _name, _s in STARS.items():
     _add(f"star_{_name}", _star_query(_name), f"WITH j AS (SELECT {LINE}, {_s.key} AS k, {_MEASURES[_s.measure.name]} AS m FROM {_from}), g AS (SELECT k FROM j GROUP BY k ORDER BY round({_s.agg}(m), 2) DESC, k LIMIT 1) SELECT {LINE} FROM j WHERE k IN (SELECT k FROM g)")
 
 
-# ---- planted faults, on generated tables
-def _program(name: str, rows: int = 30_000) -> Query:
+# ---- planted faults: normal rows made from lineitem, a faulty group beside them
+def _program(name: str) -> Query:
     """The contributions behind the suspicious output and their influence: planted faults rank first."""
     p = PROGRAMS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = Lineage(spark, strict=False)
         t.enable_influence()
-        df = p.query(p.rows(spark, rows))
-        c = t.trace_where(df, p.suspicious)
+        base = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("id"))
+        c = t.trace_where(p.query(p.rows(base)), p.suspicious)
         return c.influence_table(p.column).select(F.round("value", 3).alias("value"), F.round("influence", 3).alias("influence"))
 
     return run
 
 
-for _name in PROGRAMS:
-    _add(f"prog_{_name}", _program(_name))
+_SCORES = {"sum": "v", "avg": "(v - (SELECT avg(v) FROM f)) / ((SELECT count(*) FROM f) - 1)", "max": "(SELECT max(v) FROM f) - (SELECT max(v) FROM f r WHERE r.i <> f.i)", "p95": "(SELECT quantile_cont(v, 0.95) FROM f) - (SELECT quantile_cont(v, 0.95) FROM f r WHERE r.i <> f.i)"}
+for _name, _p in PROGRAMS.items():
+    _add(f"prog_{_name}", _program(_name), f"WITH f AS (SELECT i, ({_p.sql})::DOUBLE AS v FROM (SELECT range AS i FROM range({FAULTY}))) SELECT round(v, 3) AS value, round({_SCORES[_p.agg]}, 3) AS influence FROM f")
 
 
 # ---- RDD jobs
@@ -327,12 +349,26 @@ def _rdd_words(spark: SparkSession, sf_dir: str):
     return lc, rows
 
 
+def _counted(rows):
+    return rows.flatMap(lambda d: d[1].split(" ")).map(lambda w: (w, 1)).reduceByKey(lambda a, b: a + b)
+
+
+def _word(counts, word: str):
+    """A cursor at the documents behind one word."""
+    wanted = key_id(word)
+    return counts.getLineage().filter(lambda i: i == wanted).goBack()
+
+
 def rdd_wordcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents behind one word of a word count."""
     _, rows = _rdd_words(spark, sf_dir)
-    counts = rows.flatMap(lambda d: d[1].split(" ")).map(lambda w: (w, 1)).reduceByKey(lambda a, b: a + b)
-    ids = [i for (w, _), i in counts.filter(lambda kv: kv[0] == "the").collectWithId() if w == "the"]
-    return spark.createDataFrame(counts.getLineage().filter(ids).goBack().toRDD().map(lambda d: (d[0],)), "doc_id long")
+    return spark.createDataFrame(_word(_counted(rows), "the").toRDD().map(lambda d: (d[0],)), "doc_id long")
+
+
+def rdd_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word count again, of the documents behind one word alone."""
+    _, rows = _rdd_words(spark, sf_dir)
+    return spark.createDataFrame(_word(_counted(rows), "sch").replay(), "word string, n long")
 
 
 def rdd_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,37 +376,25 @@ def rdd_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows.filter(lambda d: " and the " in d[1]).getLineage().toRDD().map(lambda d: (d[0],)), "doc_id long")
 
 
-def _joined(spark: SparkSession, sf_dir: str):
+def rdd_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders behind all joined records, at the granularity of the key: all orders of the customer."""
     lc = LineageContext(spark.sparkContext)
     orders = lc._source(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").rdd.map(tuple))
     customers = lc._source(table(spark, sf_dir, "customer").select("c_custkey", "c_name").rdd.map(tuple))
-    return orders.join(customers)
-
-
-def rdd_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders behind a joined record, at the granularity of its key: all orders of the customer."""
-    joined = _joined(spark, sf_dir)
-    ids = sorted({i for (k, _), i in joined.filter(lambda kv: kv[0] in (4, 7)).collectWithId() if k in (4, 7)})
-    return spark.createDataFrame(joined.getLineage().filter(ids).goBack(0).toRDD().map(lambda o: (o[0], o[1])), "o_custkey long, o_orderkey long")
-
-
-def rdd_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders behind all joined records; no ids reach the driver."""
-    return spark.createDataFrame(_joined(spark, sf_dir).getLineage().goBack(0).toRDD().map(lambda o: (o[0], o[1])), "o_custkey long, o_orderkey long")
+    return spark.createDataFrame(orders.join(customers).getLineage().goBack(0).toRDD().map(lambda o: (o[0], o[1])), "o_custkey long, o_orderkey long")
 
 
 def rdd_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     lc = LineageContext(spark.sparkContext)
     rows = lc._source(table(spark, sf_dir, "documents").select("doc_id", "lang").rdd.map(tuple))
-    langs = rows.map(lambda d: d[1]).distinct()
-    ids = [i for v, i in langs.collectWithId() if v == "de"]
-    return spark.createDataFrame(langs.getLineage().filter(ids).goBack().toRDD().map(lambda d: (d[0],)), "doc_id long")
+    langs, wanted = rows.map(lambda d: d[1]).distinct(), key_id("de")
+    return spark.createDataFrame(langs.getLineage().filter(lambda i: i == wanted).goBack().toRDD().map(lambda d: (d[0],)), "doc_id long")
 
 
 _add("rdd_wordcount", rdd_wordcount, "SELECT doc_id FROM documents WHERE list_contains(string_split(text, ' '), 'the')")
 _add("rdd_grep", rdd_grep, "SELECT doc_id FROM documents WHERE contains(text, ' and the ')")
-_add("rdd_join", rdd_join, "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (4, 7)")
-_add("rdd_join_all", rdd_join_all, "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+_add("rdd_replay", rdd_replay, "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents WHERE list_contains(string_split(text, ' '), 'sch')) GROUP BY word")
+_add("rdd_join", rdd_join, "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
 _add("rdd_distinct", rdd_distinct, "SELECT doc_id FROM documents WHERE lang = 'de'")
 
 
