@@ -318,7 +318,8 @@ def _tested(pairs: DataFrame, payload: DataFrame, made: Callable, test: Callable
     leaf = F.coalesce(F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / LEAF)), F.lit(0).cast("long"))
     salted = salted.select("a", "b", F.pmod(F.xxhash64("b", leaf), F.lit(max(1, -(-n // LEAF)))).alias("bin"))
     tops = salted.select(F.col("b").alias("id"), "b", "bin").distinct()
-    rows = salted.select(F.col("a").alias("id"), "b", "bin").unionByName(tops).join(payload, "id")
+    rows = salted.select(F.col("a").alias("id"), "b", "bin").unionByName(tops)
+    rows = payload.join(small_or_not(rows, 2 * n, SMALL), "id")  # few pairs go to the payloads, which then are not shuffled
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         is_hub = (frame["id"] == frame["b"]).to_numpy()
@@ -352,12 +353,12 @@ def _leaf_units(rows: DataFrame, num: int, den: int) -> DataFrame:
     Documents of a frequent label share leaves with no others, so that leaves of one label are not paired.
     """
     counts = rows.groupBy("token", "label").agg(F.count("*").alias("m"))
-    counts = counts.withColumn("own", F.when(F.col("m") * 2 > LEAF, F.col("label")))
-    held = keep(counts.groupBy("token", "own").agg(F.sum("m").alias("m")), "leaf-counts")
-    own = counts.filter("own is not null").select("token", "label", "own")
-    leafy = rows.join(own, ["token", "label"], "left")
-    leafy = leafy.join(held.withColumnRenamed("token", "t_").withColumnRenamed("own", "o_"), (F.col("token") == F.col("t_")) & F.col("own").eqNullSafe(F.col("o_")))
-    leafy = leafy.withColumn("leaf", F.xxhash64("own", F.pmod(F.xxhash64(F.lit(3), "id"), F.ceil(F.col("m") / LEAF)))).select("token", "leaf", "id", "label", "n", "point")
+    counts = keep(counts.withColumn("own", F.when(F.col("m") * 2 > LEAF, F.col("label"))), "label-counts")
+    heavy = keep(counts.filter("own is not null").select("token", "label", "own", F.col("m").alias("m_own")), "heavy-labels")
+    light = keep(counts.filter("own is null").groupBy("token").agg(F.sum("m").alias("m_rest")), "light-labels")
+    leafy = rows.join(small_or_not(heavy, heavy.count(), SMALL), ["token", "label"], "left").join(small_or_not(light, light.count(), SMALL), "token", "left")
+    leaves = F.ceil(F.coalesce("m_own", "m_rest") / LEAF)
+    leafy = leafy.withColumn("leaf", F.xxhash64("own", F.pmod(F.xxhash64(F.lit(3), "id"), leaves))).select("token", "leaf", "id", "label", "n", "point")
     leafy = keep(leafy, "leaves")
 
     def node(frame: pd.DataFrame) -> pd.DataFrame:
@@ -387,8 +388,8 @@ def _leaf_units(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def _open_pairs(blocks: DataFrame, points: DataFrame, roots: DataFrame, num: int, den: int, spanning: bool) -> DataFrame:
     """Pairs (a, b) inside blocks that hold several labels and three documents or more, that an R-tree over their points lets pass, and the tokens `more` of blocks with pairs left out."""
-    labelled = blocks.select("token", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    rows = keep(labelled.select("token", "id", F.coalesce("root", "id").alias("label")).distinct(), "labelled")
+    labelled = blocks.select("token", "id").join(small_or_not(roots.withColumnRenamed("node", "id"), roots.count(), SMALL), "id", "left")
+    rows = keep(labelled.select("token", "id", F.coalesce("root", "id").alias("label")), "labelled")  # the least member of a task's rows may stand here twice
     h = F.xxhash64("id")
     sums = rows.groupBy("token").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.shiftright(h, 24)).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(7), "id"), 24)).alias("y"))
     sums = keep(sums.filter("m > 2 and lo < hi").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m"), "open")  # equal members: once
@@ -457,7 +458,7 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -
         bodies = keep(bodies.groupBy("id").agg(F.min("payload").alias("payload")), "bodies")
     star = keep(blocks.filter("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "star")
     near = keep(_tested(star, points.select("id", F.col("point").alias("payload")), unpacked, lambda p, q: allowed(p, q, num, den)), "near")
-    roots = components(keep(_verified(near, bodies, n, num, den), "star-links"), "a", "b")
+    roots = keep(components(keep(_verified(near, bodies, n, num, den), "star-links"), "a", "b"), "roots")
     discard(star, near)
     tested, open_ = None, blocks
     for spanning in (True, False):
@@ -466,7 +467,7 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -
         tested = keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
         links = keep(_verified(tested, bodies, n, num, den), "links")
         if not links.isEmpty():
-            roots = joined_further(roots, links, "a", "b")
+            roots = keep(joined_further(roots, links, "a", "b"), "roots")
         more = keep(found.filter("more is not null").select(F.col("more").alias("token")).distinct(), "more")
         n_more = more.count()
         if not n_more:
