@@ -124,7 +124,7 @@ def naive_winnow(text, k, w):
     return [h[i] for i in out], out
 
 
-@pytest.mark.parametrize("k, w", [(16, 64), (5, 7), (1, 1)])
+@pytest.mark.parametrize("k, w", [(16, 16), (16, 64), (5, 7), (1, 1)])
 def test_winnowing_equals_windows_one_by_one(k, w):
     r = random.Random(k)
     for n in (1, 4, 15, 16, 17, 79, 80, 500):
@@ -142,6 +142,16 @@ def test_common_passages_share_a_fingerprint():
         assert a & b
 
 
+def test_short_edited_texts_stay_near_and_long_ones_are_winnowed_whole():
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    near = [winnowing.likeness(winnowing.winnow(a)[0], winnowing.winnow(winnowing.edited(a, word(n)))[0]) for n in range(60, 130) for a in [word(n)]]
+    assert min(near) > 0 and sum(near) / len(near) > 0.3
+    long = word(400_000)
+    at = winnowing.winnow(long)[1]
+    assert at[-1] >= len(long) - winnowing.K - winnowing.WINDOW and max(winnowing.np.diff(at)) <= winnowing.WINDOW
+
+
 def test_neighbours_follow_descending_ids(spark):
     texts = {5: "e" * 90, 3: "c" * 30, 9: "", 1: None, None: "nul" * 40}
     df = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string")
@@ -151,6 +161,9 @@ def test_neighbours_follow_descending_ids(spark):
     for a, b in zip(order, [*order[1:], order[0]], strict=True):
         new = winnowing.edited(texts[a] or "", texts[b] or "")
         assert rows[a].edited_sha256 == hashlib.sha256(new.encode()).hexdigest() and rows[a].n_chars == len(texts[a] or "")
+        own, changed, following = (set(naive_winnow(s, winnowing.K, winnowing.WINDOW)[0]) if s else set() for s in (texts[a] or "", new, texts[b] or ""))
+        for got, other in ((rows[a].near_edited, changed), (rows[a].near_next, following)):
+            assert got == (len(own & other) / len(own | other) if own | other else 1.0)
     assert winnowing.winnowed_pairs(df.limit(0)).count() == 0
     one = winnowing.winnowed_pairs(df.filter("doc_id = 5")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
@@ -177,6 +190,23 @@ def test_ids_equal_the_library(vocabulary):
         assert [e.decode(x) for x in got] == texts
 
 
+def test_long_pieces_equal_the_library_in_little_time(vocabulary):
+    import time
+
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    own = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(8)
+    texts = ["".join(r.choices(abc, k=n)) for abc in ("ab", "abcdefghijklmnopqrstuvwxyz", "日本語テキスト処理", "=", "é") for n in (100, 255, 256, 257, 600, 5000)] + ["the" * 30_000, "x" * 70_000]
+    began = time.time()
+    got = [list(x) for x in bpe.Encoder(vocabulary).encode(texts)]
+    assert time.time() - began < 30
+    assert got == [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
+    e = bpe.Encoder(vocabulary)
+    assert len(list(e.encode(["a" * 1000 + " b"]))) == 1 and set(e.known) == {" b"}  # long chunks are not held
+
+
 def test_transducer_is_minimal_and_exact(tmp_path):
     words = sorted({w + s for w in ("walk", "talk", "stalk", "chalk") for s in ("", "s", "ed", "ing")})
     t = bpe.Transducer.build((w.encode(), [i, i + 1]) for i, w in enumerate(words))
@@ -215,6 +245,16 @@ def test_chat_round_trip(spark):
     assert chat.formatted_digests(df.limit(0)).count() == 0
 
 
+def test_conversations_over_many_batches(spark):
+    rows = [(1, 0, "user", "hi")] + [(2, i, ["user", "assistant"][i % 2], f"turn {i} </s>") for i in range(13_000)] + [(c, i, "assistant", f"{c}-{i}") for c in range(3, 1500) for i in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("loss", chat.F.lit(1)).withColumn("n_turns", chat.F.lit(1)).repartition(3)
+    got = {r.conv_id: r for r in chat.formatted_digests(df).collect()}
+    assert len(got) == 1499 and got[2].n_turns == 13_000 and all(got[c].n_turns == 3 for c in range(3, 1500))
+    said = "".join(f"{r}\n{t}\n" for c, _, r, t in rows if c == 2)
+    assert got[2].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert got[2].loss_sha256 == hashlib.sha256("".join(t for c, _, r, t in rows if c == 2 and r == "assistant").encode()).hexdigest()
+
+
 # ---- html
 def test_extraction_leaves_boilerplate_out():
     page = """<html><body><nav><a href=/>Home</a></nav><div class="top-banner">Buy</div><div id=main class="post-42 content"><h1>T&eacute;st</h1>
@@ -233,6 +273,45 @@ def test_host_consensus(spark):
     assert got[9] == "brief" and got[10] == "" and got[0].startswith("Long text")
 
 
+def planted_pages(r):
+    """(url, html, main text) of pages from several templates, with boilerplate that is sometimes longer than the article."""
+    word = lambda: "".join(r.choices("abcdefghijklmno", k=r.randint(2, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    links = lambda n: "".join(f"<li><a href=/{word()}>{line(2)}</a></li>" for _ in range(n))
+    for host, (open_, close) in {
+        "a.example": ("<div class='post-{} entry'>", "</div>"), "b.example": ("<article>", "</article>"), "c.example": ("<main><section class=story>", "</section></main>"), "d.example": ("<td id=text class='x{}'>", "</td>"),
+    }.items():
+        for k in range(25):
+            parts = [f"{line(r.randint(8, 30))}, {line(5)} &amp; {line(3)}." for _ in range(r.randint(1, 6))]
+            inside = "".join(f"<p>{p}</p><script>var {word()} = '{line(9)}';</script><div class='ad banner'>{line(6)}</div>" for p in parts)
+            around = (f"<table><tr>{open_.format(k)}", f"{close}</table>") if "td" in open_ else (open_.format(k), close)
+            body = f"<header>{line(9)}</header><nav><ul>{links(9)}</ul></nav><div class=sidebar>{line(r.randint(5, 200))}</div>{around[0]}{inside}{around[1]}<div class=comments><p>{line(60)}, {line(60)}</p></div><form>{line(9)}</form><footer>{line(20)}</footer>"
+            yield f"http://{host}/{k}", f"<html><head><title>{line(3)}</title><style>p {{}}</style></head><body>{body}</body></html>", " ".join(parts).replace("&amp;", "&")
+
+
+@pytest.mark.parametrize("most", [32_000_000, 0])
+def test_planted_articles_are_extracted_alone(spark, monkeypatch, most):
+    monkeypatch.setattr(html, "BROADCAST_CHARS", most)  # without it hosts are dealt with salt
+    pages = list(planted_pages(random.Random(31)))
+    df = spark.createDataFrame([(i, u, h, "x", 0) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string, text string, path long")
+    got = {x.page_id: x for x in html.main_text(df).collect()}
+    assert len(got) == 100 and all(got[i].text == want and got[i].n_chars == len(want) for i, (_, _, want) in enumerate(pages))
+    assert html.main_text(df.limit(0)).count() == 0
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 60_000 + "core text, and more" + "</div>" * 60_000, "<b>" * 60_000 + "core text, and more" + "</i>" * 60_000, "<div><p>" * 30_000 + "core text, and more", "<span><li>" * 20_000 + "core text, and more"):
+        assert html.extract(page, None) == "core text, and more"
+        html.vote(page)
+    deep = "<div class=a>" * 20_000 + "core text, and more"
+    assert html.extract(deep, html.vote(deep)[0]) == "core text, and more"
+    assert len(html.extract("<p>some words, and more</p>" * 50_000, None)) == 50_000 * 21 - 1
+    assert time.time() - began < 60
+
+
 # ---- language
 def test_language_of_held_out_rows(spark):
     r = random.Random(4)
@@ -248,6 +327,27 @@ def test_language_of_held_out_rows(spark):
     assert [x.lang_pred for x in none.collect()] == ["und"]
 
 
+def test_rare_languages_are_learned_and_slices_lose_nothing(spark, monkeypatch):
+    r = random.Random(14)
+    words = {"en": ["the", "shing", "tion", "wh"], "de": ["sch", "ung", "über", "keit"], "xx": ["qvo", "zzi", "kju", "vva"]}
+    some = lambda x: " ".join("".join(r.choices(words[x], k=2)) for _ in range(30))
+    rows = [(i, some(x), x) for i in range(1200) for x in ["xx" if i % 100 == 7 else "en" if i % 10 else "de"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.sample_of(df, 60)
+    by = {x: sum(lang == x for _, lang in sample) for x in words}
+    assert by["en"] == 60 and by["de"] == 60 and by["xx"] >= 8
+    model = language.train(sample)
+    texts = [some(x) + " 12, " + some(y) for x in words for y in words]
+    assert all(model.predict(some("xx"))[0] == "xx" for _ in range(20))
+    whole = [model.logits(t) for t in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(language, "SLICE", size)
+        assert all(language.np.allclose(model.logits(t), z) for t, z in zip(texts, whole, strict=True))
+    assert language.identify(df.limit(0)).count() == 0
+    clashing = df.withColumn("score", language.F.lit("x")).withColumn("h", language.F.lit(1)).withColumn("there_", language.F.lit(2))
+    assert language.identify(clashing).count() == 1200
+
+
 # ---- n-gram join
 def naive_sets(texts, n):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -343,8 +443,21 @@ def test_folded_points_never_hide_a_link():
         assert n < 60 or not ngram_join.allowed(ngram_join.point(a), ngram_join.point(other), 80, 100)
 
 
+def test_extra_columns_that_clash_change_nothing(spark):
+    names = ("id", "mark", "n", "digest", "point", "tokens", "label", "hub", "bucket", "ids", "part", "extra", "positions", "set_id", "size", "root")
+    plain = frame(spark, [*AWKWARD, "some more words in a row", "some more words in a row"])
+    more = plain.select("*", *[ngram_join.F.lit("x").alias(n) for n in names])
+    for f in (ngram_join.similar_groups, ngram_join.distinct_documents, winnowing.winnowed_pairs, winnowing.fingerprints, bpe.encoded_digests, bpe.encode_documents, secrets.secret_digests, quality.quality, quality.cleaned):
+        assert sorted(map(str, f(more).collect())) == sorted(map(str, f(plain).collect()))
+
+
 def test_join_on_odd_tables(spark):
-    assert ngram_join.similar_groups(frame(spark, [])).count() == 0
+    assert ngram_join.similar_groups(frame(spark, [])).count() == 0 and ngram_join.distinct_documents(frame(spark, [])).count() == 0
+    repeated = spark.createDataFrame([(1, "one two three four", "en", "s", 1)] * 3 + [(1, "five six seven eight", "en", "s", 1), (2, "five six seven eight", "en", "s", 1)], DOCS)
+    assert sorted((x.doc_id, x.text[:4]) for x in ngram_join.distinct_documents(repeated).collect()) == [(1, "five"), (1, "one ")]
+    long = " ".join(f"w{i}" for i in range(60_000))
+    got = {x.doc_id: x for x in ngram_join.similar_groups(frame(spark, [long, long + " more", "w1 w2 w3 w4"])).collect()}
+    assert got[1].component_id == 0 and got[2].component_id == 2 and got[0].n_shingles == 59_997
     rows = [(1, "a b c d e", "en", "s", 9), (1, "a b c d e", "en", "s", 9), (1, "v w x y z", "en", "s", 9), (2, "v w x y z", "en", "s", 9), (None, "a b c d e", "en", "s", 9), (3, None, None, None, None)]
     got = sorted((x.doc_id or -1, x.component_id or -1) for x in ngram_join.similar_groups(spark.createDataFrame(rows, DOCS)).collect())
     assert len(got) == 6 and (2, 1) in got and (3, 3) in got
@@ -372,25 +485,39 @@ def test_quality_measures_equal_loops(spark):
         assert x.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and (not x.base_failed or not x.kept)
 
 
-def naive_judged(rows):
-    """removed_words and kept for rows of (doc_id, text, lang, source, n_chars), by loops."""
-    normal = lambda line: " ".join(WORD.findall(line)).lower()
-    lines = [[normal(x) for x in (t or "").split("\n") if WORD.search(x)] for _, t, *_ in rows]
+def normal(line):
+    return " ".join(WORD.findall(line)).lower()
+
+
+def naive_over(rows):
+    """(source, normalised line) of the lines above their host's limit, for rows of (doc_id, text, lang, source, n_chars)."""
     docs, texts, hosts = {}, {}, {}
-    for (i, t, _, s, _), own in zip(rows, lines, strict=True):
+    for i, t, _, s, _ in rows:
         hosts.setdefault(s, set()).add(i)
-        for x in own:
-            docs.setdefault((s, x), set()).add(i)
-            texts.setdefault((s, x), set()).add(t)
-    over = {k for k, v in docs.items() if len(v) >= quality.LEAST_DOCS <= len(texts[k]) and (len(v) >= quality.MOST_DOCS or len(v) >= quality.SHARE * len(hosts[k[0]]))}
-    out = []
-    for (_, t, _, s, _), own in zip(rows, lines, strict=True):
+        for x in (t or "").split("\n"):
+            if WORD.search(x):
+                docs.setdefault((s, normal(x)), set()).add(i)
+                texts.setdefault((s, normal(x)), set()).add(t)
+    return {k for k, v in docs.items() if len(v) >= quality.LEAST_DOCS <= len(texts[k]) and (len(v) >= quality.MOST_DOCS or len(v) >= quality.SHARE * len(hosts[k[0]]))}
+
+
+def naive_judged(rows):
+    """removed_words and kept of each row, by loops."""
+    over, out = naive_over(rows), []
+    for _, t, _, s, _ in rows:
+        own = [normal(x) for x in (t or "").split("\n") if WORD.search(x)]
         n, removed, m = len(WORD.findall(t or "")), sum(len(x.split(" ")) for x in own if (s, x) in over), naive_quality(t)
         failed = n < 20 or 100 * m[4] > 30 * n
         out.append((removed, not failed and not (removed and (n - removed < quality.LEAST_WORDS or n - removed < quality.LEAST_PART * n))))
     return out
 
 
+def naive_cleaned(rows):
+    """The text of each row that is kept, without lines above the limit, by number of the row."""
+    over = naive_over(rows)
+    return {k: "\n".join(x for x in t.split("\n") if (s, normal(x)) not in over) for k, ((_, t, _, s, _), (_, kept)) in enumerate(zip(rows, naive_judged(rows), strict=True)) if kept}
+
+
 def test_frequent_lines_are_removed_and_depleted_documents_go(spark):
     own = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
     notice = " ".join(f"legal{j}" for j in range(25))
@@ -524,6 +651,42 @@ def test_hilbert_curve_moves_one_step_at_a_time():
         assert all(sum(abs(a - b) for a, b in zip(unpack(at[i]), unpack(at[i + 1]), strict=True)) == 1 for i in range(len(at) - 1))
 
 
+def test_shards_equal_a_sort_by_curve(spark):
+    import zlib
+
+    from whence.llm import sharding
+
+    F = sharding.F
+    rows = [(i % 97, "x" * (i * 7 % 300), None if i % 5 == 0 else ["de", "en", "fr"][i % 3], None if i % 7 == 0 else f"s{i % 30}", 0) for i in range(700)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    salts = df.select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("c")).distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id", "c"), F.lit(sharding.LEAST_SALTS)))
+    salt = {(x.doc_id, x.c): x.salt for x in salts.collect()}
+    top = max(len(t or "") for _, t, *_ in rows) + 9.0
+    curve = hilbert_indices(4, 3)
+
+    def code(s, low, high):
+        if s is None:
+            return 0
+        n = sharding._common(low, high)
+        unit = lambda v: (ord(v[n]) if len(v) > n else 0) * 256 + (ord(v[n + 1]) if len(v) > n + 1 else 0)
+        return max(0, min(15, int((unit(s) - unit(low)) * 16 // (unit(high) - unit(low) + 1))))
+
+    import math
+
+    sources, langs = sorted({x[3] for x in rows if x[3]}), sorted({x[2] for x in rows if x[2]})
+    order = []
+    for i, t, lang, source, _ in rows:
+        size, crc = len(t or "") + 8, zlib.crc32((t or "").encode())
+        at = (code(source, sources[0], sources[-1]) * 16 + code(lang, langs[0], langs[-1])) * 16 + min(15, int(math.log2(size) * 16 / math.log2(top)))
+        order.append((curve[at], salt[i, crc], -1 if i is None else i, crc, size))
+    order.sort()
+    want = [((k * 24) // 701, *x[2:]) for k, x in enumerate(order)]
+    got = sharding.hilbert_shards(df, 24).collect()
+    assert sorted((x.shard, -1 if x.doc_id is None else x.doc_id, x.text_crc32, x.size) for x in got) == sorted(want)
+    firsts = [min(k for k in range(701) if k * 24 // 701 == s) for s in range(24)]
+    assert sorted((firsts[x.shard] + x.slot, -1 if x.doc_id is None else x.doc_id, x.text_crc32) for x in got) == [(k, x[2], x[3]) for k, x in enumerate(order)]
+
+
 def test_shards_are_even_and_gapless(spark):
     from whence.llm import sharding
 

@@ -4,10 +4,11 @@ Frequent chunks of text (a word with the space before it) are encoded once and c
 states with equal continuations are shared, and outputs on its arcs add up to a chunk's number, which points to its ids. Its
 arrays form one file, which Spark ships to every executor and workers map into memory. A batch walks all its distinct chunks
 through the automaton at once. Chunks that it lacks are merged exactly, all of a batch together: in each round every
-chunk merges its leftmost pair of least rank, until no pair has a rank.
+chunk merges its leftmost pair of least rank, until no pair has a rank. Pieces of more than LONG bytes, as unspaced scripts make them, are merged each by a heap over a linked list.
 
-The lexicon changes speed only: its size is a bound on a cache (LEXICON chunks, a documented parameter), and any chunk gives the
-same ids with or without it. A null text counts as empty and has no ids.
+The lexicon changes speed only: its size is a bound on a cache (LEXICON chunks of at most LONG characters, documented parameters), and any chunk gives the
+same ids with or without it. A null text counts as empty and has no ids. Rows are encoded each for itself, rows that repeat an id too; an empty table gives an empty result; extra columns
+are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import array
 import gc
 import hashlib
+import heapq
 import json
 import re
 import tempfile
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import by_batch, keep, shared_dir, small_batches
 
-LEXICON, LEAST_COUNT = 60_000, 4
+LEXICON, LEAST_COUNT, LONG = 60_000, 4, 256
 #: Distinct chunks kept in a worker between batches, and chunks counted before a partial count is passed on.
 CACHED, COUNTED = 400_000, 100_000
 # Unicode white space, as the tokenizer's pattern understands it, and that pattern.
@@ -66,7 +68,9 @@ class Vocabulary:
         pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
         first, second = (np.array([ids[p[k]] for p in pairs], np.int64) for k in (0, 1))
         self.made = np.append(np.array([ids[a + b] for a, b in pairs], np.int32), -1)
-        self._hash_pairs(first << 32 | second)
+        self.pairs = first << 32 | second
+        self.rank_of: dict[int, int] = {}  # the same for single look-ups, filled when a long piece needs them
+        self._hash_pairs(self.pairs)
         every = np.arange(256)
         self.byte_ranks = self._rank(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)).reshape(len(every), len(every))
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -76,7 +80,7 @@ class Vocabulary:
     def parsed(cls, text: str) -> Vocabulary:
         return cls(json.loads(text))
 
-    #: The rank of a pair that merges into nothing; bits for a place in a word.
+    #: The rank of a pair that merges into nothing; bits for a place in a word of at most LONG bytes.
     NONE, BITS = (1 << 31) - 1, 24
 
     def _hash_pairs(self, keys: np.ndarray) -> None:
@@ -118,6 +122,9 @@ class Vocabulary:
         out: list[list[int]] = [[] for _ in words]
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self._merge_long(w)
+                continue
             by_size.setdefault(len(w) if len(w) <= 24 else 1 << (len(w) - 1).bit_length(), []).append(i)
         for size, all_of in by_size.items():
             step = max(1, 400_000 // max(1, size))
@@ -127,6 +134,30 @@ class Vocabulary:
                     out[i] = got
         return out
 
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same for one long word: the pairs in a heap by rank and place, the tokens in a linked list."""
+        if not self.rank_of:
+            self.rank_of.update(zip(self.pairs.tolist(), range(len(self.pairs)), strict=True))
+        rank, made, n = self.rank_of.get, self.made.tolist(), len(word)
+        ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, i) for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or rank(ids[i] << 32 | ids[j]) != r:  # a pair that earlier merges have changed
+                continue
+            ids[i], ids[j], k = made[r], -1, after[j]
+            after[i] = k
+            if k >= 0:
+                before[k] = i
+                if (x := rank(ids[i] << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (x, i))
+            if (h := before[i]) >= 0 and (x := rank(ids[h] << 32 | ids[i])) is not None:
+                heapq.heappush(heap, (x, h))
+        return [t for t in ids if t >= 0]
+
     def _merge_block(self, words: list[bytes], size: int) -> list[list[int]]:
         """Words of at most `size` bytes; a column is a word, so that each step runs along whole rows."""
         if not size:
@@ -322,6 +353,7 @@ class Encoder:
         self.v, self.lexicon, self.known = vocabulary, lexicon, {}
 
     def _learn(self, chunks: set[str]) -> None:
+        """Ids of chunks of at most LONG characters, kept for later batches."""
         if len(self.known) + len(chunks) > CACHED:
             self.known.clear()
         new = [c for c in chunks if c not in self.known]
@@ -346,11 +378,13 @@ class Encoder:
     def _group(self, group: list[list[tuple[str, bool]]]) -> Iterator[array.array]:
         cut = [[p if added else CHUNK.findall(p) for p, added in parts] for parts in group]
         need = set().union(*[c for parts in cut for c in parts if not isinstance(c, str)]) if cut else set()
+        long = [c for c in need if len(c) > LONG]
+        need.difference_update(long)
         if not need <= self.known.keys():
             self._learn(need)
             if not need <= self.known.keys():
                 self._learn(need)
-        known = self.known
+        known = {**self.known, **dict(zip(long, self.v.encode_chunks(long), strict=True))} if long else self.known
         for parts in cut:
             ids = array.array("I")
             for p in parts:
@@ -374,6 +408,8 @@ def frequent_chunks(docs: DataFrame, most: int = LEXICON, least: int = LEAST_COU
             for t in b.column("text").to_pylist():
                 if t:
                     seen.update(CHUNK.findall(t))
+            for c in [c for c in seen if len(c) > LONG]:  # no words: the lexicon would not be bounded in bytes
+                del seen[c]
             if len(seen) > COUNTED:  # chunks seen once here are passed on too: sums are whole
                 yield out()
                 seen.clear()

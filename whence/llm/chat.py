@@ -5,8 +5,9 @@ roles and texts are escaped, so nothing a speaker writes can open or close a tur
 turns. Lengths of all segments, their running offsets and the places they scatter to are computed in numpy; header, role, text and
 footer bytes are then copied into one preallocated buffer, which becomes the Arrow column. Loss spans (of assistant texts) come from the same offsets.
 
-A null text or role counts as empty, a null turn comes first; equal turns follow in order of role and text. Conversations arrive
-sorted, and one that spans two batches is carried over, so memory is bounded by a batch and the longest conversation.
+A null text or role counts as empty, a null turn comes first; turns with equal numbers follow in order of role and text, rows that repeat a turn are turns of their own. A null
+conv_id is a conversation like another. Conversations arrive sorted, and one that spans several batches is carried over and joined once, so memory is bounded by a batch and the longest
+conversation. An empty table gives an empty result; extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -101,35 +102,43 @@ def _conversations(rows: DataFrame, make, schema: str) -> DataFrame:
 
     names = _parse_datatype_string(schema).fieldNames()
 
+    def whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        key = t.column("conv_id").combine_chunks()
+        first = np.append(_starts(key, None), len(key))
+        col = lambda c: t.column(c).cast(pa.large_string()).combine_chunks().fill_null("")
+        roles, texts = col("role"), col("text")
+        column, start, end = assemble(escape_role(roles), escape(texts), first)
+        out = make(key.take(pa.array(first[:-1])), column, first, roles, start, end)
+        return pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in out], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in _then_none(batches):
-            t = held if b is None else pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-            if t is None or not t.num_rows:
+        held: list[pa.RecordBatch] = []  # parts of the conversation that may go on, joined once
+        for b in batches:
+            if not b.num_rows:
                 continue
-            t = t.combine_chunks()
-            key = t.column("conv_id").combine_chunks()
-            ids = key.fill_null(0).to_numpy(zero_copy_only=False)
-            none = key.is_null().to_numpy(zero_copy_only=False)
-            first = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (none[1:] != none[:-1])) + 1, [len(ids)]])
-            if b is not None:  # the last conversation may go on
-                held, first = t.slice(int(first[-2])), first[:-1]
-                t, key = t.slice(0, int(first[-1])), key.slice(0, int(first[-1]))
-            if t.num_rows:
-                col = lambda c: t.column(c).cast(pa.large_string()).combine_chunks().fill_null("")  # noqa: B023, E731
-                roles, texts = col("role"), col("text")
-                column, start, end = assemble(escape_role(roles), escape(texts), first)
-                out = make(key.take(pa.array(first[:-1])), column, first, roles, start, end)
-                yield pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in out], names)
+            starts = _starts(b.column("conv_id"), held[-1].column("conv_id")[-1] if held else None)
+            if len(starts):
+                last = int(starts[-1])
+                if held or last:
+                    yield whole([*held, b.slice(0, last)])
+                held = [b.slice(last)]
+            else:
+                held.append(b)
+        if held:
+            yield whole(held)
 
     small_batches(rows.sparkSession, 4000)
     rows = rows.select("conv_id", "turn", "role", "text")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInArrow(run, schema)
 
 
-def _then_none(batches):
-    yield from batches
-    yield None
+def _starts(key: pa.Array, before: pa.Scalar | None) -> np.ndarray:
+    """Indices at which another conversation starts than the one before; `before` is the id of the row before the first, if there is one."""
+    ids = key.fill_null(0).to_numpy(zero_copy_only=False)
+    none = key.is_null().to_numpy(zero_copy_only=False)
+    new = before is None or before.as_py() != key[0].as_py()
+    return np.flatnonzero(np.append(new, (ids[1:] != ids[:-1]) | (none[1:] != none[:-1])))
 
 
 def formatted(rows: DataFrame) -> DataFrame:

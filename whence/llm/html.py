@@ -7,13 +7,15 @@ pages, which are parsed again and cut at that path. A page that lacks the winnin
 
 Boilerplate inside a container (menus, forms, asides, comments, adverts, notices, by tag, role or class) is left out. Blocks are joined by one
 space, white space inside a block is one space. A null or empty html gives an empty text; a null url has the empty host; markup
-that never closes is closed at the end. Pages of any length are parsed whole.
+that never closes is closed at the end. Pages of any length and depth are parsed whole, in time and memory that grow with their length. Rows that repeat a page_id are pages of their
+own, and vote each. An empty table gives an empty result; extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,15 +39,25 @@ GOOD = re.compile(r"(?:^|[-_ ])(?:article|post|story|entry|content|main|body|tex
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 BREAK = "\0"
+#: Characters of all hosts' winning paths up to which they are broadcast; parts that a host's pages are dealt to beyond.
+BROADCAST_CHARS, SALTS = 32_000_000, 32
 
 
 class Node:
-    """An element: tag, path of generalised steps, whether it is boilerplate, and its text runs and children in page order."""
+    """An element: tag, generalised step, whether it is boilerplate, its parent, the container around it, and its text runs and children in page order."""
 
-    __slots__ = ("boiler", "items", "parent", "path", "tag")
+    __slots__ = ("around", "boiler", "items", "parent", "step", "tag")
 
-    def __init__(self, tag: str, path: str, parent, boiler: bool):
-        self.tag, self.path, self.parent, self.boiler, self.items = tag, path, parent, boiler, []
+    def __init__(self, tag: str, step: str, parent, boiler: bool):
+        self.tag, self.step, self.parent, self.boiler, self.items, self.around = tag, step, parent, boiler, [], None
+
+    def path(self) -> str:
+        """The steps from the root, made for the few nodes that need it: paths of all nodes would grow with the square of the depth."""
+        steps, node = [], self
+        while node is not None:
+            steps.append(node.step)
+            node = node.parent
+        return ">".join(reversed(steps))
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -64,6 +76,14 @@ def _boiler(tag: str, a: dict[str, str]) -> bool:
 def parse(source: str) -> Node:
     root = Node("", "", None, False)
     at, pos, end = root, 0, len(source)
+    opened: Counter[str] = Counter()  # tags of `at` and what lies around it
+
+    def closed_to(node: Node) -> None:
+        nonlocal at
+        while at is not node:
+            opened[at.tag] -= 1
+            at = at.parent
+
     while pos < end:
         m = MARKUP.search(source, pos)
         if m is None:
@@ -77,6 +97,8 @@ def parse(source: str) -> Node:
             continue
         tag, closing, rest = tag.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if closing:
+            if not opened[tag]:  # nothing to close, however deep the page is
+                continue
             node = at
             while node is not root and node.tag != tag:
                 if tag not in BLOCK and node.tag in BLOCK:  # an inline end tag closes nothing outside its block
@@ -84,23 +106,23 @@ def parse(source: str) -> Node:
                     break
                 node = node.parent
             if node is not root:
-                at = node.parent
+                closed_to(node.parent)
             continue
         a = {k.lower(): _html.unescape(x or y or z) for k, x, y, z in ATTRIBUTE.findall(rest)} if rest.strip(" /") else {}
-        if tag in CLOSES_P:
-            at = _closed(at, root, ("p",), ("body", "article", "div", "section", "td", "li"))
+        if tag in CLOSES_P and opened["p"]:
+            closed_to(_closed(at, root, ("p",), ("body", "article", "div", "section", "td", "li")))
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[tag]
-            at = _closed(at, root, same, ("ul", "ol", "dl", "table", "select") if tag not in ("td", "th") else ("tr", "table"))
-        node = Node(tag, f"{at.path}>{_step(tag, a)}" if tag not in VOID else at.path, at, _boiler(tag, a))
+            if any(opened[x] for x in same):
+                closed_to(_closed(at, root, same, ("ul", "ol", "dl", "table", "select") if tag not in ("td", "th") else ("tr", "table")))
+        node = Node(tag, _step(tag, a), at, _boiler(tag, a))
         at.items.append(node)
         if tag in RAW or tag in ("script", "style"):
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(source, pos)
             pos = close.end() if close else end
-        elif tag not in VOID and not rest.endswith("/"):
+        elif tag not in VOID and (not rest.endswith("/") or tag in BLOCK):  # HTML knows no self-closing blocks
             at = node
-        elif tag not in VOID and rest.endswith("/") and tag in BLOCK:
-            at = node  # HTML knows no self-closing blocks
+            opened[tag] += 1
     return root
 
 
@@ -151,7 +173,7 @@ def containers(root: Node) -> list[Score]:
         node, holder, link, depth = stack.pop()
         if node.tag in CONTAINER:
             nodes.setdefault(id(node), node)
-            holder = node
+            node.around, holder = holder, node
         link = link or node.tag == "a"
         for x in node.items:
             if isinstance(x, str):
@@ -162,24 +184,17 @@ def containers(root: Node) -> list[Score]:
                     while own is not None and share > 0.2:  # half of it counts for the container around
                         if id(own) in nodes:
                             points[id(own)] = points.get(id(own), 0.0) + share * gain
-                        own, share = _around(own), share / 2
+                        own, share = own.around, share / 2
             elif not x.boiler:
                 stack.append((x, holder, link, depth + 1))
     out = []
     for k, p in points.items():
         node = nodes[k]
-        factor = 2.0 if node.tag in ("article", "main") else 1.3 if GOOD.search(node.path.rpartition(">")[2]) else 0.8 if node.tag == "body" else 1.0
+        factor = 2.0 if node.tag in ("article", "main") else 1.3 if GOOD.search(node.step) else 0.8 if node.tag == "body" else 1.0
         out.append(Score(node, p * factor))
     return out
 
 
-def _around(node: Node) -> Node | None:
-    node = node.parent
-    while node is not None and node.tag not in CONTAINER:
-        node = node.parent
-    return node
-
-
 def best(root: Node) -> Score | None:
     found = [s for s in containers(root) if s.points > 0]
     return max(found, key=lambda s: s.points, default=None)
@@ -188,7 +203,7 @@ def best(root: Node) -> Score | None:
 def vote(source: str | None) -> tuple[str, float] | None:
     """The generalised path of a page's best container and its points, damped so that no long page outvotes many."""
     got = best(parse(source)) if source else None
-    return (got.node.path, min(got.points, 2000.0) ** 0.5) if got else None
+    return (got.node.path(), min(got.points, 2000.0) ** 0.5) if got else None
 
 
 def extract(source: str | None, path: str | None) -> str:
@@ -197,13 +212,17 @@ def extract(source: str | None, path: str | None) -> str:
         return ""
     root = parse(source)
     found: list[Node] = []
-    stack = [root]
-    while path and stack:
-        node = stack.pop()
-        if node.path == path and node.tag in CONTAINER:
-            found.append(node)
+    steps = path.split(">") if path else []
+    stack = [(root, 0)] if steps else []
+    while stack:  # only below nodes whose steps are the path's so far
+        node, k = stack.pop()
+        if node.step != steps[k]:
+            continue
+        if k + 1 == len(steps):
+            if node.tag in CONTAINER:
+                found.append(node)
         else:
-            stack += [x for x in reversed(node.items) if not isinstance(x, str) and not x.boiler]
+            stack += [(x, k + 1) for x in reversed(node.items) if not isinstance(x, str) and not x.boiler]
     text = " ".join(t for t in map(text_of, found) if t)
     if not text:
         own = best(root)
@@ -239,7 +258,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession, 500)
     pages = pages.select("page_id", "url", "html")
     paths = keep(host_paths(pages), "host-paths")
-    joined = pages.withColumn("host", host_of(F.col("url"))).join(paths, "host", "left").select("page_id", "url", "html", "path")
+    size = paths.agg(F.coalesce(F.sum(F.length("path") + F.length("host") + 64), F.lit(0)).alias("n")).head()["n"]
+    pages = pages.withColumn("host", host_of(F.col("url")))
+    if size <= BROADCAST_CHARS:
+        joined = pages.join(F.broadcast(paths), "host", "left")
+    else:  # a host may hold a third of all pages
+        salted = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)).cast("int"))
+        joined = salted.join(paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "path")
 
     def run(b: pa.RecordBatch) -> dict:
         texts = [extract(h, p) for h, p in zip(b.column("html").to_pylist(), b.column("path").to_pylist(), strict=True)]

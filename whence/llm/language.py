@@ -2,17 +2,19 @@
 
 Subwords are runs of 1 to 4 code points of the lower-cased text, edges of words included, hashed into BUCKETS rows of a table of
 embeddings. A document is the mean of its subwords' embeddings; a linear layer and a softmax give the languages' probabilities. Both
-layers are learned together in numpy, from a bounded sample of labelled documents (SAMPLE rows, those with the least hash of their id, a
-documented parameter). A temperature fitted on a part of the sample that training never sees calibrates the score, and the lowest score that still is
+layers are learned together in numpy, from a bounded sample of labelled documents (SAMPLE rows of each language, those with the least hash of their id, a
+documented parameter, so that rare languages are learned at every size). A temperature fitted on a part of the sample that training never sees calibrates the score, and the lowest score that still is
 right as often as RELIABLE there is the rejection threshold. For prediction the two layers are multiplied into one table, since a mean commutes with
 a linear map. The model's size does not depend on the input.
 
 A text that is null or has no letter is `und` with score 0. Whole texts are read, in slices of bounded length. Rows with a null lang are never learned
-from. Without any labelled row every document is `und`.
+from. Without any labelled row every document is `und`. Equal rows and rows that repeat an id are predicted each for itself; an empty table gives an empty result; extra columns are
+neither read nor returned.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -24,27 +26,37 @@ from pyspark.sql import functions as F
 from .common import by_batch
 
 BUCKETS, DIMS, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
-SAMPLE, EPOCHS, RATE, RELIABLE, SEED = 3000, 6, 0.5, 0.99, 17
+SAMPLE, EPOCHS, RATE, RELIABLE, SEED = 750, 6, 0.5, 0.99, 17
 #: Code points handled at once.
 SLICE = 200_000
 UNKNOWN = "und"
 
 
-def subwords(text: str) -> np.ndarray:
-    """Buckets of all subwords of a (lower-cased) text; characters other than letters count as one gap."""
+def _codes(text: str) -> np.ndarray:
+    """The code points of a (lower-cased) text's letters; what stands between them is one zero."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters(x)
-    x = np.where(letter, x, 0).astype(np.uint64)
-    x = x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))] if len(x) else x
-    out = []
+    x = np.where(_letters(x), x, 0)
+    return x[np.append(True, (x[1:] != 0) | (x[:-1] != 0))] if len(x) else x
+
+
+def _buckets(x: np.ndarray, lead: int) -> np.ndarray:
+    """Buckets of the subwords of codes that end behind the first `lead` ones."""
+    x, out = x.astype(np.uint64), []
     with np.errstate(over="ignore"):
-        h = np.zeros(len(x), np.uint64)
+        h = x + np.uint64(1)
         for n in range(1, max(ORDERS) + 1):
-            h = h[: len(x) - n + 1] * np.uint64(0x100000001B3) + x[n - 1 :] + np.uint64(n) if n > 1 else x + np.uint64(1)
+            if n > 1:
+                h = h[: len(x) - n + 1] * np.uint64(0x100000001B3) + x[n - 1 :] + np.uint64(n)
             if n in ORDERS:
-                v = (h ^ (h >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)
+                v = h[max(0, lead - n + 1) :]
+                v = (v ^ (v >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)
                 out.append((v >> np.uint64(49)).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    return np.concatenate(out)
+
+
+def subwords(text: str) -> np.ndarray:
+    """Buckets of all subwords of a (lower-cased) text; characters other than letters count as one gap."""
+    return _buckets(_codes(text), 0)
 
 
 _TABLE: list[np.ndarray] = []
@@ -69,15 +81,13 @@ class Model:
     threshold: float = 0.0
 
     def logits(self, text: str) -> np.ndarray | None:
-        total, n, letters = np.zeros(len(self.langs)), 0, False
-        for s in range(0, len(text), SLICE):
-            part = text[s : s + SLICE].lower()
-            b = subwords(part)
-            letters = letters or any(map(str.isalpha, part))
-            if len(b):
-                total += self.table[b].sum(0, dtype=np.float64)
-                n += len(b)
-        return total / n + self.bias if letters and n and self.langs else None
+        total, n, x = np.zeros(len(self.langs)), 0, _codes(text.lower())
+        for s in range(0, len(x), SLICE):
+            lead = min(s, max(ORDERS) - 1)  # a slice starts with what subwords across the cut need
+            b = _buckets(x[s - lead : s + SLICE], lead)
+            total += self.table[b].sum(0, dtype=np.float64)
+            n += len(b)
+        return total / n + self.bias if self.langs and x.any() else None
 
     def predict(self, text: str | None) -> tuple[str, float]:
         z = self.logits(text) if text else None
@@ -138,19 +148,24 @@ def train(rows: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = RATE,
 
 
 def sample_of(docs: DataFrame, rows: int = SAMPLE) -> list[tuple[str, str]]:
-    """Labelled rows outside the held-out fold, with a letter: at most `rows`, those with the least hash of their id.
+    """Labelled rows outside the held-out fold, with a letter: at most `rows` of each language, those with the least hash of their id.
 
-    The hash is cut where that many rows are expected below it (a tenth more, to be sure), so tasks send little else to the driver.
+    The hash is cut, for each language, where that many of its rows are expected below it (a tenth more, to be sure), so tasks send little else to the driver.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold != 0))
-    there = labelled.count()
-    bits = 40
-    cut = (1 << bits) if there <= 2 * rows else int((1 << bits) * (1.1 * rows + 100) / there)
+    bits, there = 40, F.col("there_")
+    cut = F.when(there <= 2 * rows, F.lit(1 << bits)).otherwise((F.lit(float(1 << bits) * (1.1 * rows + 100)) / there).cast("long"))
+    cuts = labelled.groupBy("lang").agg(F.count("*").alias("there_")).select("lang", cut.alias("cut_"))  # a row for each language
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    few = labelled.filter((h < F.lit(cut)) & F.col("text").rlike(r"\p{L}")).select(h.alias("h"), "doc_id", "lang", "text").collect()
+    few = labelled.join(F.broadcast(cuts), "lang").filter((h < F.col("cut_")) & F.col("text").rlike(r"\p{L}")).select(h.alias("h"), "doc_id", "lang", "text").collect()
     few.sort(key=lambda r: (r["h"], r["doc_id"], r["lang"], r["text"]))
-    return [(r["text"], r["lang"]) for r in few[:rows]]
+    taken, out = Counter(), []
+    for r in few:
+        taken[r["lang"]] += 1
+        if taken[r["lang"]] <= rows:
+            out.append((r["text"], r["lang"]))
+    return out
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ each bucket's offset, and row numbers are taken inside buckets. The curve has at
 the input; the salt splits an index that holds a large part of all rows.
 
 Nulls: a null text has no bytes and the checksum of the empty text; a null source or lang takes the code 0; a null
-doc_id sorts first. Equal rows get neighbouring slots. An empty table gives an empty result.
+doc_id sorts first. Equal rows, and rows that repeat an id, are placed each for itself; equal rows get neighbouring slots. An empty table gives an empty result; extra columns are
+neither read nor returned.
 """
 
 from __future__ import annotations

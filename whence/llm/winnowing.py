@@ -4,7 +4,8 @@ Any two texts that share at least K + WINDOW - 1 characters in a row share a fin
 code points in numpy, by doubling: a hash of 2k characters from two of k, a least of 2w from two of w.
 
 A null text counts as empty and has no fingerprint. A text shorter than K is hashed whole; one with fewer hashes than a
-window has one window. Equal texts have equal fingerprints. `neighbours` orders by descending doc_id, nulls last, equal ids by text.
+window has one window. Equal texts have equal fingerprints. `neighbours` orders by descending doc_id, nulls last, equal ids by text; rows that repeat an id lie in one range. An empty
+table gives an empty result; extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 
-K, WINDOW = 16, 64
+K, WINDOW = 16, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -37,7 +38,8 @@ def _gram_hashes(x: np.ndarray, k: int) -> np.ndarray:
         k >>= 1
         if k:
             h = h[: len(h) - width] * power + h[width:]
-            power, width = power * power, 2 * width
+            with np.errstate(over="ignore"):
+                power, width = power * power, 2 * width
     out = (out ^ (out >> np.uint64(31))) * _MUL
     return (out >> np.uint64(32)).astype(np.uint64)
 
