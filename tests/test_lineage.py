@@ -188,6 +188,16 @@ def test_files_are_pruned_however_many_there_are(spark, tables, listed, monkeypa
     assert c.go_back().witnesses().count() == 50
 
 
+def test_codes_of_files_equal_the_expression(spark, monkeypatch):
+    paths = [f"file:/a b/ü-{i}.parquet" for i in range(40)] + [""]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    for seed in (0, 1, 63):
+        want = [r["c"] for r in rows.coalesce(1).select(scan._code(F.col("path"), seed).alias("c")).collect()]
+        assert scan._codes(spark, paths, seed) == want
+    monkeypatch.setattr(scan, "xxh64", None)
+    assert scan._codes(spark, paths, 63) == want
+
+
 @pytest.mark.parametrize("kind", ["orc", "json", "csv", "text"])
 def test_rows_of_other_file_formats(spark, tables, tmp_path, kind):
     rows = spark.createDataFrame(SALES, "category string, amount int").repartition(3)

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from ..functions.influence import Influence, has_closed_form, influences
 from ..plans.graph import CaptureGraph, Level
 
-#: Ids up to which a frontier is held by the driver; a larger one stays a table, and its joins are shuffles.
+#: Ids up to which `write_witnesses_auto` holds frontiers on the driver.
 DRIVER_IDS = 500_000
 
 
@@ -27,11 +27,11 @@ class SourceWitnesses(NamedTuple):
 class Cursor:
     """A set of ids at one level of a captured query.
 
-    The frontier of a walk that starts from a list is a list on the driver as long as it is small (`limit` ids, checked before it is fetched) and a table beyond; a walk that starts from a
-    table goes on with tables, and nothing is fetched.
+    A frontier is the list that the walk started from, or a table: hops add semi joins to one plan, and nothing is fetched until rows or `ids` are asked for. With a `limit`, a frontier of at most so many ids is
+    fetched at each hop (their number is checked first).
     """
 
-    def __init__(self, graph: CaptureGraph, level: Level | None, ids: Iterable[int] | DataFrame, path: tuple = (), limit: int = DRIVER_IDS, session: Any = None):
+    def __init__(self, graph: CaptureGraph, level: Level | None, ids: Iterable[int] | DataFrame, path: tuple = (), limit: int = 0, session: Any = None):
         self.graph, self.level, self.path, self.limit, self.session = graph, level, path, limit, session
         self._table = ids if isinstance(ids, DataFrame) else None
         self._ids = None if isinstance(ids, DataFrame) else sorted(set(ids))
@@ -40,15 +40,15 @@ class Cursor:
         return self.graph.result.sparkSession
 
     def _moved(self, level: Level, found: DataFrame, path: tuple) -> Cursor:
-        if not self.limit or self._ids is None:
-            return Cursor(self.graph, level, found, path, self.limit, self.session)
+        if not self.limit:
+            return Cursor(self.graph, level, found, path, 0, self.session)
         got = found.limit(self.limit + 1).collect()
         ids = found if len(got) > self.limit else [r["id"] for r in got]
         return Cursor(self.graph, level, ids, path, self.limit, self.session)
 
-    def known_size(self) -> float:
-        """The number of ids where the driver has them, infinity where it would have to ask."""
-        return float("inf") if self._ids is None else len(self._ids)
+    def at_most(self, n: int) -> bool:
+        """Whether there are at most n ids."""
+        return (len(self._ids) if self._ids is not None else self._table.limit(n + 1).count()) <= n
 
     @property
     def frontier(self) -> DataFrame:
@@ -168,7 +168,7 @@ class Cursor:
         for _, branch in self._steps(start.level, level):
             at = at.go_back(branch)
         name = agg or self._named(slot)
-        rows = level.table.select(F.col(level.out).alias("out"), F.col(level.ins[0]).alias("in"), F.col(slot.column).alias("value"))
+        rows = level.linked().select(F.col(level.out).alias("out"), F.col(level.ins[0]).alias("in"), F.col(slot.column).alias("value"))
         rows = rows.join(at.frontier.withColumnRenamed("id", "out"), "out", "left_semi")
         fallback = self.session.fallback if self.session is not None else None
         if agg is None and fallback is not None and not has_closed_form(name):

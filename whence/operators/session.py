@@ -14,7 +14,7 @@ from ..functions import udf as _udf
 from ..functions.taint import REGIMES, column_provenance, trace
 from ..plans.graph import CaptureGraph
 from ..plans.rewrite import NotCaptured, Rewriter
-from .cursor import DRIVER_IDS, Cursor, SourceWitnesses
+from .cursor import Cursor, SourceWitnesses
 
 
 class Lineage:
@@ -120,8 +120,8 @@ class Lineage:
 
     # ---- trace
 
-    def trace(self, df: DataFrame, output_ids: Iterable[int] | DataFrame, limit: int = DRIVER_IDS) -> Cursor:
-        """A cursor at the result. output_ids: a list, or a table with one column id."""
+    def trace(self, df: DataFrame, output_ids: Iterable[int] | DataFrame, limit: int = 0) -> Cursor:
+        """A cursor at the result. output_ids: a list, or a table with one column id. limit: ids that a hop may fetch, see Cursor."""
         g = self.graph(df)
         if g is None:
             return Cursor(CaptureGraph(released=True), None, [], session=self)
@@ -129,7 +129,7 @@ class Lineage:
             output_ids = [int(i) for i in output_ids if i is not None]
         return Cursor(g, g.level, output_ids, (), limit, self)
 
-    def trace_where(self, df: DataFrame, predicate: str, limit: int = DRIVER_IDS) -> Cursor:
+    def trace_where(self, df: DataFrame, predicate: str, limit: int = 0) -> Cursor:
         """A cursor at the result rows that satisfy a predicate, without a list of ids."""
         return self.trace(df, self.result(df, "id").filter(predicate).select("id"), limit)
 
@@ -179,7 +179,7 @@ class Lineage:
     def annotated(self, cursor: Cursor, full: bool) -> list[dict]:
         """The witnesses as dicts, with what the UDFs read; rows that no traced call read have no such keys."""
         most = int(self.spark.conf.get("spark.whence.lazyCellDriverMax", os.environ.get("LAZY_CELL_DRIVER_MAX", "50000")))
-        if self.mode == "lazy-cell" and cursor.known_size() <= most:
+        if self.mode == "lazy-cell" and cursor.at_most(most):
             rows = [r.asDict(True) for r in cursor.witnesses(full).collect()]
             mine = [(m.params, m.fn, trace(m.fn)) for m in self.measures if rows and set(m.params) <= set(rows[0])]
             for r in rows:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,8 @@ class Level:
     """One step of a walk.
 
     kind: scan, keyed (a group's members), peers (rows of a window's partition), join, semi, union or top.
-    table: holds `out` (ids of this level) and `ins` (ids of each branch's level), set when the job's boundary is stored.
+    table: holds `out` (ids of this level) and `ins` (ids of each branch's level), set when the job's boundary is stored; `later` makes it when it is first asked for, so that the job
+    does not wait for plans that only a trace needs.
     """
 
     kind: str
@@ -38,6 +40,13 @@ class Level:
     keys: tuple[str, str] = ("", "")
     codes: dict[str, tuple[str, str]] = field(default_factory=dict)  # traced UDF: (id column, code column) of `code_table`
     code_table: DataFrame | None = None
+    later: Callable[[], DataFrame] | None = None
+
+    def linked(self) -> DataFrame:
+        """The table, made if need be."""
+        if self.table is None and self.later is not None:
+            self.table, self.later = self.later(), None
+        return self.table
 
     def pairs(self, branch: int) -> DataFrame:
         """out, in: every link from this level to a branch's level."""
@@ -45,7 +54,7 @@ class Level:
 
         if not 0 <= branch < len(self.branches):
             raise IndexError(f"level {self.kind} has {len(self.branches)} branches")
-        t = self.table
+        t = self.linked()
         if self.kind == "peers":
             left = t.select(F.col(self.out).alias("out"), F.col(self.keys[0]).alias("k"))
             return left.join(t.select(F.col(self.ins[0]).alias("in"), F.col(self.keys[0]).alias("k")), "k").select("out", "in")
@@ -60,8 +69,8 @@ class Level:
 
         a, b = ("in", "out") if forward else ("out", "in")
         if self.kind == "peers" or self.kind == "semi" and branch == 1:
-            t = self.table.select(F.col(self.out).alias("id"), F.col(self.keys[0]).alias("k"))
-            o = (self.table.select(F.col(self.ins[0]).alias("id"), F.col(self.keys[0]).alias("k")) if self.kind == "peers" else self.side.select(F.col(self.ins[1]).alias("id"), F.col(self.keys[1]).alias("k")))
+            t = self.linked().select(F.col(self.out).alias("id"), F.col(self.keys[0]).alias("k"))
+            o = (self.linked().select(F.col(self.ins[0]).alias("id"), F.col(self.keys[0]).alias("k")) if self.kind == "peers" else self.side.select(F.col(self.ins[1]).alias("id"), F.col(self.keys[1]).alias("k")))
             here, there = (o, t) if forward else (t, o)
             keys = here.join(wanted, "id", "left_semi").select("k").distinct()
             return there.join(keys, "k", "left_semi").select("id").distinct()

@@ -43,6 +43,18 @@ class State:
         return list(dict.fromkeys([self.ident, *self.trail]))
 
 
+class Later:
+    """A table that is made once, when it is first asked for."""
+
+    def __init__(self, make: Callable[[], DataFrame]):
+        self.make, self.got = make, None
+
+    def __call__(self) -> DataFrame:
+        if self.got is None:
+            self.got = self.make()
+        return self.got
+
+
 class NotCaptured(Exception):
     """The query runs without capture, without an error."""
 
@@ -229,16 +241,16 @@ class Rewriter:
         focused = self._focus(flow)
         if focused is None:  # hashes and contributions are taken from the stored columns when a trace asks for them
             inputs = self.store(state, flow)
-            stored = inputs.select("*", *members).select(*lineage)
+            made = Later(lambda: inputs.select("*", *members).select(*lineage))
         else:  # the job's rows are not stored, only the lineage of the named groups
             stored = self.store(state, focused.select("*", *members).select(*lineage))
             self.graph.apart.append(stored)
-            inputs = flow
-        level.table = stored
+            inputs, made = flow, Later(lambda: stored)
+        level.later = made
         if distinct is not None:
-            values = Level("keyed", [state.level], inner, [state.ident], stored)
+            values = Level("keyed", [state.level], inner, [state.ident], later=made)
             level.branches, level.ins = [values], [inner]
-            level.table = stored.select(out, inner, *[s.column for s in slots]).distinct()
+            level.later = lambda: made().select(out, inner, *[s.column for s in slots]).distinct()
         shown = [self.name("k") for _ in keys]
         plus = [self.b.alias(k, n) for k, n in zip(keys, shown, strict=True)]
         agg = self.b.logical.Aggregate(node.groupingExpressions(), self.b.seq(self.b.items(node.aggregateExpressions()) + plus), self.b.plan(inputs), node.hint())

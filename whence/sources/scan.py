@@ -12,9 +12,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    from xxhash import xxh64_intdigest as xxh64
+except ImportError:
+    xxh64 = None
+
 ROW_BITS, FILE_BITS, MOST_FILES = 35, 28, 10_000
 #: Ids up to which a frontier is a literal list in the filter; files up to which a filter names them.
 LITERALS, MOST_NAMED = 2000, 5000
@@ -91,15 +96,26 @@ class Source:
         return df.select(*[F.col(f"`{c}`") for c in order], *([name] if keep_id else []))
 
 
+def _codes(spark: SparkSession, paths: list[str], seed: int) -> list[int]:
+    """What Spark's expression `_code` gives for these paths; without a job where the hash is at hand."""
+    if xxh64 is None:
+        rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i long, path string").select("i", _code(F.col("path"), seed).alias("code")).collect()
+        return [r["code"] for r in sorted(rows)]
+    second = seed.to_bytes(4, "little")
+    return [xxh64(second, xxh64(p.encode(), 42)) & ((1 << FILE_BITS) - 1) for p in paths]
+
+
+def _code(path: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(path, F.lit(seed)), F.lit(1 << FILE_BITS))
+
+
 def parquet_ident(base: DataFrame) -> tuple[Column, dict[int, str] | None]:
-    jvm = base.sparkSession._jvm
+    spark = base.sparkSession
+    jvm = spark._jvm
     paths = sorted(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(p)).toString() for p in base.inputFiles())  # as _metadata.file_path has them
-    row = F.col("_metadata.row_index")
     if len(paths) <= MOST_FILES:
         for seed in range(64):
-            code = F.pmod(F.xxhash64(F.col("path"), F.lit(seed)), F.lit(1 << FILE_BITS))
-            got = base.sparkSession.createDataFrame([(p,) for p in paths], "path string").select(code.alias("code"), "path").collect() if paths else []
-            if len({r["code"] for r in got}) == len(paths):
-                ident = F.shiftleft(F.pmod(F.xxhash64(F.col("_metadata.file_path"), F.lit(seed)), F.lit(1 << FILE_BITS)), ROW_BITS) + row
-                return ident, {r["code"]: r["path"] for r in got}
-    return F.xxhash64(F.col("_metadata.file_path"), row), None
+            files = dict(zip(_codes(spark, paths, seed) if paths else [], paths, strict=True))
+            if len(files) == len(paths):
+                return F.shiftleft(_code(F.col("_metadata.file_path"), seed), ROW_BITS) + F.col("_metadata.row_index"), files
+    return F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")), None
