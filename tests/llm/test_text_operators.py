@@ -94,6 +94,11 @@ def test_planted_secrets_are_found_and_clean_texts_left_alone():
     assert planted == 320 and caught >= 0.97 * planted and whole >= 0.98 * planted and wrong <= 0.05 * clean
 
 
+def test_stems_cover_all_sensitive_words():
+    for word in ("password", "PASSWD", "passphrase", "pwd", "Secret", "token", "api key", "API_KEY", "apikey", "Auth", "bearer", "credential", "private-key", "access key", "signature", "session"):
+        assert secrets.SENSITIVE.fullmatch(word) and any(x in word.lower() for x in secrets.STEMS)
+
+
 def test_novelty_of_what_fixed_patterns_cover():
     text = 'a note: token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and on'
     spans, measured = secrets.scan_measured(text)

@@ -30,6 +30,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|signature|session)", re.IGNORECASE | re.ASCII)
+#: What every sensitive word starts with or is, in lower case: a text without them needs no search.
+STEMS = ("pass", "pwd", "secret", "token", "api", "auth", "bearer", "credential", "private", "access", "signature", "session")
 #: Strings of 8 to 40 characters in quotes, and long ones anywhere.
 TOKEN = re.compile(r"""(?<=["'`])(?![^"'`]*://)[^\s"'`\\<>(){}]{8,40}(?=["'`])|(?:(?<!\\)|(?![nrt]))[A-Za-z0-9+/_=-]{16,}""")  # not the letter of an escape
 # What stands between the tokens of a run (line ends also as written in string literals), and a key's short last line.
@@ -82,12 +84,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _tokens(text: str):
-    """A function from a position to the first token from there on, for positions that do not fall; the text is passed once."""
-    last = [TOKEN.search(text)]
+    """A function from a position to the first token from there on, for positions that do not fall; the text is passed once, from the first position on."""
+    last: list[re.Match | None] = []
 
     def after(at: int) -> re.Match | None:
-        if last[0] and last[0].start() < at:
-            last[0] = TOKEN.search(text, at)
+        if not last or last[0] and last[0].start() < at:
+            last[:] = [TOKEN.search(text, at)]
         return last[0]
 
     return after
@@ -124,6 +126,9 @@ def _spans(text: str, run: list[tuple[int, int, bool, bool, bool]]) -> list[tupl
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, int]]]:
     """Spans of kind novel; and start, end and novelty of every candidate that was measured."""
     out, measured, done = [], [], 0
+    lower = text.lower()
+    if not any(x in lower for x in STEMS):
+        return out, measured
     taken = sorted((s, e) for s, e, _ in base)
     starts, reached = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     after = _tokens(text)
