@@ -17,7 +17,7 @@ coordinates is the power of two not below that of the n-grams, so that bounds ar
    blocks are cut into leaves, by label first; leaf pairs are tested by their nodes, and only those that pass are dealt, with points, never texts.
    A first round verifies, of each block, a spanning forest of the pairs that pass (likeliest first). A second takes every pair whose labels still differ,
    but for those tested.
-5. Verified links, not all pairs, give the components. Pairs that are connected already are not tested: their number grows with the square of a group.
+5. Verified links, not all pairs, give the components. Pairs that are connected already are not tested: their number grows with the square of a group. `similar_pairs` lists all links.
 
 N-grams are compared by 64-bit hashes. A text with fewer words than n is one n-gram; without words it has none and links with
 nothing. A null text has no words. Documents with a null doc_id have a null component and link with nothing. Rows that repeat a doc_id with different texts count as one document for the components (its links are those of all its texts).
@@ -30,6 +30,7 @@ import math
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -412,8 +413,18 @@ def _open_pairs(blocks: DataFrame, points: DataFrame, roots: DataFrame, num: int
     return units.withColumn("bin", F.pmod(F.xxhash64("unit"), F.lit(bins))).groupBy("bin").applyInPandas(run, "a long, b long, more long").distinct()
 
 
-def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_id (the least doc_id with the same set) of every row; links need num/den similarity of n-gram sets."""
+class Prepared(NamedTuple):
+    """What blocks and stars leave: rows (doc_id, n_shingles, digest), classes by digest (named), blocks of two classes or more, their points and texts, and the star pairs whose bound allows a link."""
+
+    rows: DataFrame
+    named: DataFrame
+    blocks: DataFrame
+    points: DataFrame
+    bodies: DataFrame
+    near: DataFrame
+
+
+def _prepared(docs: DataFrame, n: int, num: int, den: int) -> Prepared:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
 
     def run(b: pa.RecordBatch) -> dict:
@@ -458,8 +469,30 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -
         bodies = keep(bodies.groupBy("id").agg(F.min("payload").alias("payload")), "bodies")
     star = keep(blocks.filter("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "star")
     near = keep(_tested(star, points.select("id", F.col("point").alias("payload")), unpacked, lambda p, q: allowed(p, q, num, den)), "near")
+    discard(star)
+    return Prepared(rows, named, blocks, points, bodies, near)
+
+
+def similar_pairs(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets: (a, b) with a > b, ids of classes; and the membership (doc_id, id) of every document with a set.
+
+    A class's id is its least doc_id (or a hash, where that is the least of several classes). All pairs inside blocks that pass the R-tree's bound are verified, so the work grows with
+    the number of links, which is the square of a group's different texts; `similar_groups` needs a small part of them.
+    """
+    p = _prepared(docs, n, num, den)
+    alone = docs.sparkSession.createDataFrame([], "node long, root long")  # every class has a label of its own
+    found = _open_pairs(p.blocks, p.points.select("id", "n", "point"), alone, num, den, False)
+    pairs = keep(p.near.unionByName(found.filter("a is not null").select("a", "b")).distinct(), "pairs")
+    links = keep(_verified(pairs, p.bodies, n, num, den).distinct(), "links")
+    members = p.rows.filter("digest is not null and doc_id is not null").join(p.named.select("digest", "id"), "digest").select("doc_id", "id")
+    return links, members
+
+
+def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, set_id (the least doc_id with the same set) of every row; links need num/den similarity of n-gram sets."""
+    rows, named, blocks, points, bodies, near = _prepared(docs, n, num, den)
     roots = keep(components(keep(_verified(near, bodies, n, num, den), "star-links"), "a", "b"), "roots")
-    discard(star, near)
+    discard(near)
     tested, open_ = None, blocks
     for spanning in (True, False):
         found = keep(_open_pairs(open_, points.select("id", "n", "point"), roots, num, den, spanning), "open-pairs")
@@ -500,4 +533,4 @@ def distinct_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     return rest if twice.isEmpty() else rest.dropDuplicates(list(names))
 
 
-__all__ = ["RTree", "allowed", "candidates", "distinct_documents", "folded", "point", "shingles", "similar_groups", "tokens"]
+__all__ = ["RTree", "allowed", "candidates", "distinct_documents", "folded", "point", "shingles", "similar_groups", "similar_pairs", "tokens"]
