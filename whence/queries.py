@@ -5,9 +5,11 @@ Every query has a DuckDB statement over the same tables in `oracle_sql`. Doubles
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.udf import udf
@@ -15,6 +17,7 @@ from .operators.cursor import Cursor
 from .operators.programs import FAULTY, PROGRAMS, STARS
 from .operators.rdd import LineageContext, key_id
 from .operators.session import Lineage
+from .plans.catalyst import UnsupportedOperatorError
 from .sources.tables import table
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -289,6 +292,57 @@ _add("udf_coarse_call", _reads(unmodeled, ("l_quantity", "l_tax"), "lazy-cell"),
 
 
 
+@udf("double")
+def banded(l_quantity, l_tax):
+    return 1.0 if 10 < l_quantity <= 30 else l_tax
+
+
+@udf("double")
+def both(l_quantity, l_tax):
+    return 1.0 if l_quantity > 25 and l_tax > 0.04 else 0.0
+
+
+@udf("double")
+def picked(l_quantity, l_tax):
+    return [l_quantity, l_tax][0 if l_quantity > 25 else 1]
+
+
+@udf("double")
+def summed(l_quantity, l_tax):
+    total = 0.0
+    for v in (l_quantity, l_tax):
+        total += v
+    return total
+
+
+@udf("double")
+def listed(l_quantity, l_tax):
+    return sum([2 * v for v in (l_quantity, l_tax)])
+
+
+def _spread(*parts: float, by: float = 1.0) -> float:
+    return sum(parts) * by
+
+
+@udf("double")
+def spread(l_quantity, l_tax, l_discount):
+    return _spread(*[l_quantity, l_tax], by=l_discount)
+
+
+_two = ("l_quantity", "l_tax")
+_HOW = "SELECT {} AS data, {} AS control, '{}' AS regime, count(*) AS n " + _MINE + " GROUP BY ALL"
+for _measure, _data, _control, _regime in (
+    (banded, "CASE WHEN l_quantity > 10 AND l_quantity <= 30 THEN '' ELSE 'l_tax' END", "'l_quantity'", "exact"),
+    (both, "''", "CASE WHEN l_quantity > 25 THEN 'l_quantity,l_tax' ELSE 'l_quantity' END", "exact"),
+    (picked, "CASE WHEN l_quantity > 25 THEN 'l_quantity' ELSE 'l_tax' END", "'l_quantity'", "exact"),
+    (summed, "'l_quantity,l_tax'", "''", "exact"),
+    (listed, "'l_quantity,l_tax'", "''", "model"),
+):
+    _add(f"udf_{_measure.name}", _reads(_measure, _two, "lazy-cell"), _HOW.format(_data, _control, _regime))
+    _add(f"udf_{_measure.name}_cell", _reads(_measure, _two, "cell"), _HOW.format(_data, _control, _regime))
+_add("udf_spread", _reads(spread, (*_two, "l_discount"), "lazy-cell"), _HOW.format("'l_discount,l_quantity,l_tax'", "''", "coarse"))
+
+
 def trace_arrow_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through a vectorized UDF."""
     fee = F.pandas_udf(lambda q: q * 0.5, "double")
@@ -299,6 +353,124 @@ def trace_arrow_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("trace_arrow_udf", trace_arrow_udf, _lines("l_linestatus = 'F'"))
 
 
+# ---- the session's calls
+def _folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; on one machine without such a folder, in one of our own."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="whence-")
+    return f"{where.rstrip('/')}/whence-query-{uuid.uuid4().hex}"
+
+
+_BIG = "select o_custkey as k, count(*) as c from {orders} where o_totalprice > 250000 group by 1"
+_BIGS = _ORDERS + "o_totalprice > 250000"
+
+
+def _written(how: str) -> Query:
+    """The lines of a file of witnesses, written in one of three ways."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, c = _folder(spark), Lineage(spark).trace_where(_frame(spark, sf_dir, _BIG), "c > 0")
+        n = getattr(c, f"write_witnesses{how}")(path)
+        return spark.read.text(path).withColumn("lines", F.lit(n).cast("long"))
+
+    return run
+
+
+for _how in ("", "_distributed", "_auto"):
+    _add(f"written_witnesses{_how}", _written(_how), "SELECT o_custkey || '|' || o_totalprice AS value, (SELECT count(*) FROM orders WHERE o_totalprice > 250000) AS lines FROM orders WHERE o_totalprice > 250000")
+
+
+def session_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a result with their ids, which differ from row to row; and the same rows without capture, which have none."""
+    t, sql = Lineage(spark), "select c_mktsegment as m, count(*) as c from {customer} group by 1"
+    df = _frame(spark, sf_dir, sql)
+    rows, ids = t.collect_with_lineage(df), t.result_ids(df)
+    t.disable_capture()
+    plain = t.collect_with_lineage(_frame(spark, sf_dir, sql))
+    t.enable_capture()
+    distinct = len(set(ids)) == len(rows) and set(ids) == {i for _, i in rows}
+    return spark.createDataFrame([("captured", r.m, r.c, distinct) for r, _ in rows] + [("plain", r.m, r.c, i is None) for r, i in plain], "how string, m string, c long, fits boolean")
+
+
+_add("session_collect", session_collect, "SELECT how, c_mktsegment AS m, count(*) AS c, true AS fits FROM customer, (VALUES ('captured'), ('plain')) v(how) GROUP BY 1, 2")
+
+
+def session_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source rows by the ids that a walk from a list of outputs ends at."""
+    t, df = Lineage(spark), _frame(spark, sf_dir, "select s_nationkey as n, sum(s_acctbal) as b from {supplier} group by 1")
+    ids = t.backward(df, [i for r, i in t.collect_with_lineage(df) if r.n == 3])
+    return spark.createDataFrame([(r.s_nationkey, r.s_acctbal) for r in t.show_inputs(df, ids)], "s_nationkey long, s_acctbal double")
+
+
+_add("session_backward", session_backward, "SELECT s_nationkey, s_acctbal FROM supplier WHERE s_nationkey = 3")
+
+
+def session_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored and traced before and after lineage is released."""
+    t, df = Lineage(spark), _frame(spark, sf_dir, "select n_regionkey as r, count(*) as c from {nation} group by 1")
+    ids = t.result_ids(df)
+    seen = [("held", sum(t.lineage_size(df)) > 0, len(t.trace(df, ids).go_back().ids), t.trace(df, ids).go_back().at_scan)]
+    t.release_lineage(df)
+    seen.append(("released", sum(t.lineage_size(df)) > 0, len(t.trace(df, ids).go_back().ids), t.trace(df, ids).go_back().at_scan))
+    return spark.createDataFrame(seen, "state string, stored boolean, traced long, at_scan boolean")
+
+
+_add("session_release", session_release, "SELECT 'held' AS state, true AS stored, count(*) AS traced, true AS at_scan FROM nation UNION ALL SELECT 'released', false, 0, true")
+
+
+def show_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Witnesses as dicts, of one source and of all."""
+    t = Lineage(spark)
+    df = _frame(spark, sf_dir, "select n_name, r_name from {nation} join {region} on n_regionkey = r_regionkey")
+    c = t.trace_where(df, "r_name = 'ASIA'")
+    rows = [("one", d["n_name"]) for d in c.go_back(0).show()]
+    for s in c.show_all_sources():
+        rows += [("all", r["n_name"] if "n_name" in s.schema.fieldNames() else r["r_name"]) for r in s.rows]
+    return spark.createDataFrame(rows, "shown string, name string")
+
+
+_add("show_dicts", show_dicts, "WITH n AS (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA') SELECT 'one' AS shown, n_name AS name FROM n UNION ALL SELECT 'all', n_name FROM n UNION ALL SELECT 'all', 'ASIA' WHERE EXISTS (SELECT 1 FROM n)")
+
+_SHAPES = {
+    "global order": "select * from {nation} order by n_name",
+    "cross join": "select * from {nation} cross join {region}",
+    "unequal join": "select * from {nation} a join {region} on n_regionkey < r_regionkey",
+    "range": "select id from range(5)",
+    "bare limit": "select * from {nation} limit 3",
+    "group": "select n_regionkey, count(*) from {nation} group by 1",
+}
+
+
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which shapes are refused, which run without ids, and which are captured."""
+
+    def outcome(sql: str) -> str:
+        try:
+            ids = [i for _, i in Lineage(spark).collect_with_lineage(_frame(spark, sf_dir, sql))]
+        except UnsupportedOperatorError:
+            return "refused"
+        return "plain" if ids and set(ids) == {None} else "captured"
+
+    return spark.createDataFrame([(k, outcome(sql)) for k, sql in _SHAPES.items()], "shape string, outcome string")
+
+
+_add("refusals", refusals, "SELECT * FROM (VALUES ('global order', 'refused'), ('cross join', 'refused'), ('unequal join', 'refused'), ('range', 'refused'), ('bare limit', 'plain'), ('group', 'captured')) v(shape, outcome)")
+
+
+def influence_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate without a closed form, scored by one that the session names."""
+    t = Lineage(spark)
+    t.enable_influence("max")
+    c = t.trace_where(_frame(spark, sf_dir, _SUPP.format("stddev(s_acctbal)")), "n = 3")
+    return c.influence_table("v").select(F.round("value", 4).alias("value"), F.round("influence", 4).alias("influence"))
+
+
+_add("influence_fallback", influence_fallback, _SQL["influence_max"])
+
+
 # ---- star joins: the group with the largest measure, its witnesses
 def _star_query(name: str) -> Query:
     star = STARS[name]
@@ -384,6 +556,51 @@ def rdd_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(orders.join(customers).getLineage().goBack(0).toRDD().map(lambda o: (o[0], o[1])), "o_custkey long, o_orderkey long")
 
 
+def rdd_pair_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents behind one language, through operations on pairs: the same witnesses whichever brings them together."""
+    _, rows = _rdd_words(spark, sf_dir)
+    pairs = rows.keyBy(lambda d: d[0] % 3).mapValues(lambda d: d[0]).flatMapValues(lambda i: [i, -i])
+    jobs = {
+        "reduceByKey": pairs.reduceByKey(max), "groupByKey": pairs.groupByKey(), "aggregateByKey": pairs.aggregateByKey(0, max, max), "combineByKey": pairs.combineByKey(lambda v: [v], lambda a, v: [*a, v], lambda a, b: [*a, *b]),
+        "groupBy": pairs.values().groupBy(lambda i: abs(i) % 3), "cogroup": pairs.cogroup(pairs), "sortBy": pairs.coalesce(2).sortBy(lambda kv: kv[1]).sortByKey().reduceByKey(max), "mapPartitions": pairs.mapPartitions(lambda it: [kv for kv in list(it)]).reduceByKey(max),
+        "zipPartitions": pairs.zipPartitions([pairs], lambda a, b: (x for x, _ in zip(a, b, strict=True))).zipWithUniqueId().map(lambda x: x[0]).reduceByKey(max),
+        "repartition": pairs.repartitionAndSortWithinPartitions(3).reduceByKey(max),
+    }
+    wanted, found = key_id(1), None
+    for name, job in jobs.items():
+        docs = job.getLineage().filter(lambda i: i == wanted).goBack().toRDD().map(lambda d, name=name: (name, d[0]))
+        found = docs if found is None else found.union(docs)
+    return spark.createDataFrame(found, "job string, doc_id long")
+
+
+def rdd_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of a union, and cursors that meet."""
+    lc = LineageContext(spark.sparkContext)
+    nations = lc._source(table(spark, sf_dir, "nation").select("n_name", "n_regionkey").rdd.map(tuple))
+    regions = lc._source(table(spark, sf_dir, "region").select("r_name", "r_regionkey").rdd.map(tuple))
+    at = nations.union(regions).getLineage()
+    back = at.goBack(0)
+    here = back.intersection(nations.filter(lambda x: x[1] == 2).getLineage()).toRDD().map(lambda x: ("met", x[0]))
+    sides = [at.goBack(b).toRDD().map(lambda x, b=b: (f"side {b}", x[0])) for b in (0, 1)]
+    return spark.createDataFrame(sides[0].union(sides[1]).union(here), "part string, name string")
+
+
+def rdd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a text file behind one key, read in two ways; and the links as a CSV file."""
+    lc, path, out = LineageContext(spark.sparkContext), _folder(spark), _folder(spark)
+    lc._source(table(spark, sf_dir, "nation").select("n_name", "n_regionkey").rdd.map(lambda r: f"{r[0]},{r[1]}")).saveAsTextFile(path)
+    text = lc.textFile(path)
+    hadoop = lc.hadoopFile(path, "org.apache.hadoop.mapred.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text").values()
+    wanted, found = key_id("2"), None
+    for name, lines in (("textFile", text), ("hadoopFile", hadoop)):
+        at = lines.map(lambda x: (x.split(",")[1], 1)).reduceByKey(lambda a, b: a + b).getLineage().filter(lambda i: i == wanted)
+        rows = at.goBack().toRDD().map(lambda x, name=name: (name, x if isinstance(x, str) else x[1]))
+        found = rows if found is None else found.union(rows)
+    at.saveAsCSVFile(out)
+    links = spark.read.csv(out).select(F.lit("links"), F.count("*").over(Window.partitionBy("_c0")).cast("string"))
+    return spark.createDataFrame(found, "way string, line string").unionAll(links)
+
+
 def rdd_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     lc = LineageContext(spark.sparkContext)
     rows = lc._source(table(spark, sf_dir, "documents").select("doc_id", "lang").rdd.map(tuple))
@@ -395,6 +612,9 @@ _add("rdd_wordcount", rdd_wordcount, "SELECT doc_id FROM documents WHERE list_co
 _add("rdd_grep", rdd_grep, "SELECT doc_id FROM documents WHERE contains(text, ' and the ')")
 _add("rdd_replay", rdd_replay, "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents WHERE list_contains(string_split(text, ' '), 'sch')) GROUP BY word")
 _add("rdd_join", rdd_join, "SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+_add("rdd_pair_operations", rdd_pair_operations, "SELECT job, doc_id FROM documents, (VALUES ('reduceByKey'), ('groupByKey'), ('aggregateByKey'), ('combineByKey'), ('groupBy'), ('cogroup'), ('sortBy'), ('mapPartitions'), ('zipPartitions'), ('repartition')) v(job) WHERE doc_id % 3 = 1")
+_add("rdd_union", rdd_union, "SELECT 'side 0' AS part, n_name AS name FROM nation UNION ALL SELECT 'side 1', r_name FROM region UNION ALL SELECT 'met', n_name FROM nation WHERE n_regionkey = 2")
+_add("rdd_files", rdd_files, "WITH n AS (SELECT n_name || ',' || n_regionkey AS line FROM nation WHERE n_regionkey = 2) SELECT way, line FROM n, (VALUES ('textFile'), ('hadoopFile')) v(way) UNION ALL SELECT 'links', (SELECT count(*) FROM n)::VARCHAR FROM n")
 _add("rdd_distinct", rdd_distinct, "SELECT doc_id FROM documents WHERE lang = 'de'")
 
 
