@@ -13,7 +13,6 @@ are neither read nor returned.
 
 from __future__ import annotations
 
-import array
 import gc
 import hashlib
 import heapq
@@ -21,8 +20,9 @@ import json
 import re
 import tempfile
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -194,21 +194,17 @@ class Vocabulary:
             ranks[at[gone], gone] = (self.NONE << self.BITS) | at[gone]
         return final
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of each chunk: its pieces by the tokenizer's pattern, each merged."""
-        out: list = [None] * len(chunks)
+    def encode_chunks(self, chunks: list[str], known: Callable[[str], list[int] | None] = lambda _: None) -> list[list[int]]:
+        """Ids of each chunk: its pieces by the tokenizer's pattern, each merged, unless `known` has its ids."""
         find = _pieces().findall
-        single, many = [], []
-        for i, c in enumerate(chunks):
-            (single if (c[1:] if c[0] == " " else c).isalpha() else many).append(i)  # a run of letters is one piece
-        for i, ids in zip(single, self.merge([chunks[i].encode() for i in single]), strict=True):
-            out[i] = ids
-        cut = [[p.encode() for p in find(chunks[i])] for i in many]
-        unique = list({p: None for parts in cut for p in parts})
-        known = dict(zip(unique, self.merge(unique), strict=True))
-        for i, parts in zip(many, cut, strict=True):
-            out[i] = known[parts[0]] if len(parts) == 1 else [x for p in parts for x in known[p]]
-        return out
+        # A run of letters is one piece, the most frequent case.
+        cut = [[c] if (c[1:] if c[0] == " " else c).isalpha() else find(c) for c in chunks]
+        of: dict[str, list[int]] = dict.fromkeys(chain.from_iterable(cut))
+        for p in of:
+            of[p] = known(p)
+        todo = [p for p, ids in of.items() if ids is None]
+        of.update(zip(todo, self.merge([p.encode() for p in todo]), strict=True))
+        return [of[parts[0]] if len(parts) == 1 else [x for p in parts for x in of[p]] for parts in cut]
 
 
 @lru_cache(1)
@@ -347,55 +343,93 @@ class Transducer:
 
 
 class Encoder:
-    """Texts to ids, through a cache, the lexicon and exact merges."""
+    """Texts to ids, through a cache, the lexicon and exact merges.
+
+    Known chunks have numbers; the ids of all of them lie in one array, from `starts` on, `lengths` long. A group of texts becomes ids by gathering from it.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None = None):
-        self.v, self.lexicon, self.known = vocabulary, lexicon, {}
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Ids of chunks of at most LONG characters, kept for later batches."""
-        if len(self.known) + len(chunks) > CACHED:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        if self.lexicon is not None:
-            found = self.lexicon.look_up([c.encode() for c in new])
-            self.known.update((c, tuple(ids)) for c, ids in zip(new, found, strict=True) if ids is not None)
-            new = [c for c, ids in zip(new, found, strict=True) if ids is None]
-        self.known.update(zip(new, map(tuple, self.v.encode_chunks(new)), strict=True))
-
-    def encode(self, texts: list[str]) -> Iterator[array.array]:
+        self.v, self.lexicon = vocabulary, lexicon
+        self.table = pa.array(vocabulary.bytes_of, pa.large_binary())
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = {c: k for k, c in enumerate(self.v.added)}  # tokens that are split off before are chunks of their own
+        self.flat = np.fromiter(self.v.added.values(), np.uint32, len(self.known))
+        self.starts, self.lengths = np.arange(len(self.known)), np.ones(len(self.known), np.int64)
+
+    def _learn(self, chunks: list[str]) -> None:
+        found: list = self.lexicon.look_up([c.encode() for c in chunks]) if self.lexicon is not None else [None] * len(chunks)
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(rest, self.v.encode_chunks([chunks[k] for k in rest], self._ids_of), strict=True):
+            found[k] = ids
+        self.known.update(zip(chunks, range(len(self.starts), len(self.starts) + len(chunks)), strict=True))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+
+    def _ids_of(self, chunk: str) -> list[int] | None:
+        k = self.known.get(chunk)
+        return None if k is None else self.flat[self.starts[k] : self.starts[k] + self.lengths[k]].tolist()
+
+    def _forget(self, chunks: list[str], numbers: int) -> None:
+        """Drops the chunks that were learned last: what is held has a bounded size."""
+        for c in chunks:
+            del self.known[c]
+        self.flat = self.flat[: self.starts[numbers]].copy()
+        self.starts, self.lengths = self.starts[:numbers].copy(), self.lengths[:numbers].copy()
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, as 32-bit integers; texts are taken in groups of bounded length."""
-        group: list[list] = []
+        group: list[str] = []
         size = 0
         for t in texts:
-            group.append([(p, p in self.v.added) for p in (self.v.split_added.split(t) if self.v.split_added and any(a in t for a in self.v.added) else [t]) if p])
+            group.append(t)
             size += len(t)
             if size > 2_000_000:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[list[tuple[str, bool]]]) -> Iterator[array.array]:
-        cut = [[p if added else CHUNK.findall(p) for p, added in parts] for parts in group]
-        need = set().union(*[c for parts in cut for c in parts if not isinstance(c, str)]) if cut else set()
-        long = [c for c in need if len(c) > LONG]
-        need.difference_update(long)
-        if not need <= self.known.keys():
-            self._learn(need)
-            if not need <= self.known.keys():
-                self._learn(need)
-        known = {**self.known, **dict(zip(long, self.v.encode_chunks(long), strict=True))} if long else self.known
-        for parts in cut:
-            ids = array.array("I")
-            for p in parts:
-                if isinstance(p, str):
-                    ids.append(self.v.added[p])
-                else:
-                    ids.extend([x for c in p for x in known[c]])
-            yield ids
+    def _cut(self, text: str) -> list[str]:
+        if self.v.split_added and any(a in text for a in self.v.added):
+            return [c for p in self.v.split_added.split(text) for c in ([p] if p in self.v.added else CHUNK.findall(p))]
+        return CHUNK.findall(text)
+
+    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if not texts:
+            return
+        cut = [self._cut(t) for t in texts]
+        chunks = list(chain.from_iterable(cut))
+        codes, long, held = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks)), [], 0
+        missing = np.flatnonzero(codes < 0)
+        if len(missing):
+            first = list(map(chunks.__getitem__, missing.tolist()))
+            new = set(first)
+            if len(self.known) + len(new) > CACHED:
+                self._clear()
+                missing, first = np.arange(len(chunks)), chunks
+                new = set(chunks) - self.known.keys()
+            long = [c for c in new if len(c) > LONG]
+            self._learn([c for c in new if len(c) <= LONG])
+            held = len(self.starts)
+            self._learn(long)
+            codes[missing] = np.fromiter(map(self.known.__getitem__, first), np.int64, len(first))
+        lengths = self.lengths[codes]
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.starts[codes] - ends + lengths, lengths) + np.arange(len(lengths) and ends[-1])]
+        if long:
+            self._forget(long, held)
+        at = np.append(0, ends)[np.append(0, np.cumsum([len(c) for c in cut]))].tolist()
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            yield ids[i:j]
 
     def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        """What the ids' bytes are as text: one look-up of all of them, whose values are the text's bytes in a row."""
+        got = self.table.take(pa.array(ids if isinstance(ids, np.ndarray) else list(ids), pa.uint32()))
+        data = got.buffers()[2]
+        return data.to_pybytes().decode("utf-8", "replace") if len(got) and data is not None else ""
 
 
 def frequent_chunks(docs: DataFrame, most: int = LEXICON, least: int = LEAST_COUNT) -> list[str]:
@@ -403,13 +437,15 @@ def frequent_chunks(docs: DataFrame, most: int = LEXICON, least: int = LEAST_COU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["chunk", "n"])
+
+        def out() -> pa.RecordBatch:  # what is longer is no word, and the lexicon would not be bounded in bytes
+            held = {c: n for c, n in seen.items() if len(c) <= LONG}
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["chunk", "n"])
+
         for b in batches:
             for t in b.column("text").to_pylist():
                 if t:
                     seen.update(CHUNK.findall(t))
-            for c in [c for c in seen if len(c) > LONG]:  # no words: the lexicon would not be bounded in bytes
-                del seen[c]
             if len(seen) > COUNTED:  # chunks seen once here are passed on too: sums are whole
                 yield out()
                 seen.clear()
@@ -484,7 +520,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, lexicon_chunks: i
     get = encoder_for(docs, tokenizer_text(path), lexicon_chunks)
 
     def run(b: pa.RecordBatch) -> dict:
-        return {"doc_id": b.column("doc_id"), "ids": [np.frombuffer(x, np.uint32).astype(np.int32) for x in get().encode([t or "" for t in b.column("text").to_pylist()])]}
+        return {"doc_id": b.column("doc_id"), "ids": [x.astype(np.int32) for x in get().encode([t or "" for t in b.column("text").to_pylist()])]}
 
     return by_batch(docs.select("doc_id", "text"), "doc_id long, ids array<int>", run)
 
@@ -498,7 +534,7 @@ def encoded_digests(docs: DataFrame, path: str | None = None, lexicon_chunks: in
         n, ids, back = [], [], []
         for x in e.encode([t or "" for t in b.column("text").to_pylist()]):
             n.append(len(x))
-            ids.append(hashlib.sha256(np.frombuffer(x, np.uint32).astype("<u4").tobytes()).hexdigest())
+            ids.append(hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
             back.append(hashlib.sha256(e.decode(x).encode()).hexdigest())
         return {"doc_id": b.column("doc_id"), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back}
 
