@@ -46,7 +46,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     names = ("text", "lang", "source", "n_chars")
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     # Decided on narrow rows and joined back; rows that repeat an id and a text are taken alike.
-    taken = mixing.mix(docs.withColumn("key_", mark), extra=("key_",)).filter("passes > 0").groupBy("doc_id", "key_").agg(F.max("passes").alias("passes"))
+    taken = mixing.mix(docs.withColumn("key_", mark), extra=("key_",), named=False).filter("passes > 0").groupBy("doc_id", "key_").agg(F.max("passes").alias("passes"))
     taken = keep(taken.withColumnRenamed("doc_id", "id_"), "taken")
     joined = docs.withColumn("mark_", mark).join(small_or_not(taken, taken.count(), MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("mark_") == F.col("key_")))
     return joined.withColumn("pass_", F.explode(F.sequence(F.lit(1), F.col("passes")))).select("doc_id", *names)

@@ -1,6 +1,7 @@
 """Corpus operators that work on single texts, against brute force, the tokenizers library and exact round trips."""
 
 import hashlib
+import json
 import random
 import re
 
@@ -647,6 +648,36 @@ def test_mixing_with_given_sources_loses_no_row(spark):
     assert sum(t for t, _ in quota.values()) > 0 and all(t <= 1.01 * goal for t, goal in quota.values())
 
 
+def test_all_patterns_of_any_number_of_sources_meet_in_the_flow(spark):
+    from whence.llm import mixing
+
+    # 1540 texts that two of 56 sources hold each, two texts that all hold, and one text of each source's own.
+    names = [f"s{i:02}" for i in range(56)] + [f"u{i:02}" for i in range(14)]
+    texts = [(f"pair {a} {b} " * (1 + a % 3), (names[a], names[b])) for b in range(56) for a in range(b)]
+    texts += [("for all of them " * 5, names), ("and once more " * 4, names)] + [(f"own {n} " * 30, (n,)) for n in names]
+    rows = [(i, t, None, s, 0) for i, (t, s) in enumerate((t, s) for t, held in texts for s in held)]
+    got = {x.doc_id: x for x in mixing.mix(spark.createDataFrame(rows, DOCS), extra=("source",)).collect()}
+    holders = {t: sorted("s" + s for s in held) for t, held in texts}
+    assert len(got) == len(rows) and all(json.loads(got[i].pattern) == holders[t] for i, t, *_ in rows)
+    by: dict = {}
+    for x in got.values():
+        assert x.taken == x.passes * x.size and x.passes <= 3
+        by.setdefault(x.source, [0, x.target])[0] += x.taken
+    assert all(abs(taken - goal) <= max(20, 0.01 * goal) for taken, goal in by.values())
+    narrow = mixing.mix(spark.createDataFrame(rows, DOCS), extra=("source",), named=False)
+    assert "pattern" not in narrow.columns and {x.doc_id: x.taken for x in narrow.collect()} == {i: x.taken for i, x in got.items()}
+
+
+def test_groups_beyond_a_broadcast_give_the_same_mix(spark, monkeypatch):
+    from whence.llm import mixing
+
+    rows = [(i, f"text {i % 90} " * (1 + i % 5), None, "abcd"[i % 4 if i % 3 else i // 90 % 4], 0) for i in range(600)]
+    df = spark.createDataFrame(rows, DOCS)
+    plain = sorted(map(str, mixing.mix(df, extra=("source",)).collect()))
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    assert sorted(map(str, mixing.mix(df, extra=("source",)).collect())) == plain
+
+
 def test_rare_patterns_count_as_their_own_source(spark, monkeypatch):
     from whence.llm import mixing
 

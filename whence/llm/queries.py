@@ -40,7 +40,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), extra=("source",)).select("doc_id", "size", "source_size", "target", "taken", "source", "passes")
+    return mixing.mix(table(spark, sf_dir, "documents"), extra=("source",), named=False).select("doc_id", "size", "source_size", "target", "taken", "source", "passes")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
