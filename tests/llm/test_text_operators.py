@@ -175,6 +175,26 @@ def test_neighbours_follow_descending_ids(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_long_texts_are_winnowed_in_batches_of_bounded_bytes(spark):
+    # 200 texts of 300 000 characters: one batch by rows, many by bytes, on the way to a worker and back.
+    rows = spark.range(200).selectExpr("id AS doc_id", "repeat(concat('word ', id, ' '), 300000 div length(concat('word ', id, ' '))) AS text").coalesce(1)
+    winnowing.winnowed_pairs(rows)
+
+    def sizes(batches):
+        for b in batches:
+            yield winnowing.pa.RecordBatch.from_arrays([winnowing.pa.array([b.num_rows]), winnowing.pa.array([b.nbytes])], ["n", "bytes"])
+
+    got = rows.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(x.n for x in got) == 200 and max(x.bytes for x in got) <= 2 * winnowing.BATCH_BYTES
+    r = random.Random(4)
+    texts = ["".join(r.choices("abcdefgh ", k=300_000)) for _ in range(60)]
+    whole = winnowing.pa.RecordBatch.from_pydict({"part": [0] * 60, "doc_id": list(range(60, 0, -1)), "text": texts})
+    out = list(winnowing._pairs(iter([whole])))
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == list(range(60, 1, -1))
+    assert len(out) > 1 and max(b.nbytes for b in out) <= 2 * winnowing.OUT_CHARS
+    assert [f for b in out for f in b.column("fingerprint").to_pylist()] == [winnowing.as_string(winnowing.winnow(t)) for t in texts[:-1]]
+
+
 # ---- BPE
 @pytest.fixture(scope="module")
 def vocabulary():

@@ -75,9 +75,11 @@ def small_or_not(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of one Arrow batch, so that a run of very long texts still fits a worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int | None = None) -> None:
+    """Bound the rows of one Arrow batch, and its bytes if `size` is given, so that a run of very long texts still fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if size is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict], rows: int = 1000) -> DataFrame:

@@ -22,6 +22,10 @@ from .common import small_batches
 
 
 K, WINDOW = 16, 16
+#: Bytes of a batch of texts sent to a worker (one text at least), and characters of fingerprints that a worker gathers before it sends them back.
+BATCH_BYTES, OUT_CHARS = 4 << 20, 4 << 20
+KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -88,10 +92,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [winnow(t or "") for t in b.column("text").to_pylist()]
+            found = [winnow(t.as_py() or "") for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([h.astype(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([p for _, p in found], pa.list_(pa.int64()))], ["doc_id", "hashes", "positions"])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, size=BATCH_BYTES)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
 
 
@@ -120,28 +124,31 @@ def neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return both.repartitionByRange(len(order), "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit("")))
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of `winnowed_pairs` from the rows of a range in order; a batch goes out as soon as its strings take OUT_CHARS."""
+    last, rows, chars = None, [], 0
+    for b in batches:
+        for i in range(b.num_rows):  # texts one by one: those of a whole batch are never held twice
+            part, doc_id, text = (b.column(c)[i].as_py() for c in ("part", "doc_id", "text"))
+            text = text or ""
+            now = (part, doc_id, text, winnow(text))
+            if last and last[0] == part:
+                new = edited(last[2], text)
+                mark = last[3] if new == last[2] else winnow(new)
+                rows.append((last[1], len(last[2]), hashlib.sha256(new.encode()).hexdigest(), as_string(last[3]), as_string(mark), likeness(last[3][0], mark[0]), likeness(last[3][0], now[3][0])))
+                chars += len(rows[-1][3]) + len(rows[-1][4])
+            last = now
+            if chars >= OUT_CHARS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS, strict=True)], NAMES)
+                rows, chars = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS, strict=True)], NAMES)
+
+
 def winnowed_pairs(docs: DataFrame) -> DataFrame:
     """The fingerprint of each text, of its edited form, and their likeness, and the likeness to the next document's."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            rows: list[tuple] = []
-            for part, doc_id, text in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                text = text or ""
-                now = (part, doc_id, text, winnow(text))
-                if last and last[0] == part:
-                    new = edited(last[2], text)
-                    mark = last[3] if new == last[2] else winnow(new)
-                    rows.append((last[1], len(last[2]), hashlib.sha256(new.encode()).hexdigest(), as_string(last[3]), as_string(mark), likeness(last[3][0], mark[0]), likeness(last[3][0], now[3][0])))
-                last = now
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds, strict=True)], names)
-
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    small_batches(docs.sparkSession)
-    return neighbours(docs).select("part", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    small_batches(docs.sparkSession, size=BATCH_BYTES)
+    return neighbours(docs).select("part", "doc_id", "text").mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 __all__ = ["as_string", "edited", "fingerprints", "likeness", "neighbours", "winnow", "winnowed_pairs"]
